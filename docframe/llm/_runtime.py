@@ -13,6 +13,7 @@ import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Stands for a null doc_id inside the operators; it sorts below every other id.
 NO_ID = -(2**63)
@@ -70,15 +71,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """(id, th, text, *more): id is doc_id or NO_ID, th a hash of the text. Two rows with one id and
-    different texts stay apart by th; every other column is dropped, so names can't clash."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), *more
-    )
+def keyed(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """(id, th, text): id is doc_id or NO_ID, th a hash of the text (null as empty). Two rows with one id and
+    different texts stay apart by th. Other columns are dropped, so names can't clash, or are in the struct
+    rest with keep; unkeyed() gives them back."""
+    th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    out = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), th.alias("th"), F.col("text")]
+    if keep:
+        out.append(F.struct(*(c for c in docs.columns if c != "text")).alias("rest"))
+    return docs.select(*out)
+
+
+def unkeyed(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, from what keyed(docs, keep=True) has made of them."""
+    return df.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
 
 def doc_id() -> Column:
     """The id that keyed() was given."""
     return F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id")
+
+
+def added(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df with more columns behind."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -96,13 +96,13 @@ class Chunk:
         return self.buffer[self.start[i] : self.end[i]]
 
 
-def chunks(texts: list[bytes | None], size: int = CHUNK) -> Iterator[tuple[int, int, Chunk]]:
-    """(first, behind the last, chunk) over a batch's texts; null counts as empty."""
+def chunks(texts: list[bytes | None], size: int = CHUNK, most: int = 1000) -> Iterator[tuple[int, int, Chunk]]:
+    """(first, behind the last, chunk) over a batch's texts, `most` in a chunk; null counts as empty."""
     first, total = 0, 0
     texts = [t or b"" for t in texts]
     for i, t in enumerate(texts):
         total += len(t) + 1
-        if total >= size or i + 1 == len(texts):
+        if total >= size or i + 1 - first == most or i + 1 == len(texts):
             yield first, i + 1, Chunk(texts[first : i + 1])
             first, total = i + 1, 0
 
