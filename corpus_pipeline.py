@@ -2,14 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from docframe.llm._runtime import documents, materialise
+from docframe.llm._runtime import documents, keyed, materialise, unkeyed
+from docframe.llm.decontaminate import decontaminate
+from docframe.llm.jaccard_join import jaccard_classes
+from docframe.llm.sentencepiece_codec import sentencepiece_encode
+from docframe.llm.substring_dedup import substring_dedup
+from docframe.llm.toxicity import held_out, learn, score
 
-STAGES: list = []
+#: Stages can't be expressed in SQL (the toxicity model is fitted).
 ORACLE_SQL = None
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't reject; it learns from labels that aren't held out."""
+    model = learn(docs.filter(~held_out("doc_id")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return unkeyed(score(docs, model).filter("predicted = 0"), docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, that with the least doc_id; all without words."""
+    found = jaccard_classes(docs)
+    first = found.filter("component_id <=> doc_id").groupBy("id").agg(F.min("th").alias("th"), F.max("n_shingles").alias("n"))
+    blank = found.filter("n_shingles = 0").select("id", "th", F.lit(0).cast("long").alias("n")).distinct()
+    keep = materialise(first.filter("n > 0").unionByName(blank).groupBy("id", "th").agg(F.min("n").alias("n")))
+    rows = keyed(docs, keep=True).join(keep, ["id", "th"])
+    copy = F.row_number().over(Window.partitionBy("id", "th").orderBy("n"))
+    return unkeyed(rows.withColumn("copy", copy).filter("copy = 1 or n = 0"), docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of 50 words or more that an earlier one has; others keep their text as it is."""
+    cut = materialise(substring_dedup(docs, keep_text=True).filter("n_removed > 0").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "th", "kept").dropDuplicates(["id", "th"]))
+    rows = keyed(docs, keep=True).join(cut, ["id", "th"], "left").withColumn("text", F.coalesce("kept", "text"))
+    out = unkeyed(rows.select("text", "rest", "kept"), docs)
+    if "n_chars" in docs.columns:
+        out = unkeyed(rows.select(F.col("text"), F.when(F.col("kept").isNull(), F.col("rest")).otherwise(F.col("rest").withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))).alias("rest")), docs)
+    return out
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return unkeyed(found.filter("not contaminated"), docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and their digests of the remaining documents."""
+    return sentencepiece_encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", clean),
+    ("jaccard_join", distinct),
+    ("substring_dedup", unrepeated),
+    ("decontamination", uncontaminated),
+    ("sentencepiece", encoded),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = documents(spark, sf_dir)
