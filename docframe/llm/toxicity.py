@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of the sum of its words' weights;
-the document's is the noisy-or of its sentences': 1 - product(1 - score). Only documents are labelled, so the
-weights are fitted to the likelihood of the documents' labels; the sentence scores then locate what offends.
+A document is a bag of sentences. A sentence's score is a logistic function of the sum of its words' weights, 0
+if no word has one; the document's is the noisy-or of its sentences' and of a leak, the chance that a document
+is labelled for nothing that can be told: 1 - (1 - leak) * product(1 - score). Only documents are labelled, so
+all is fitted to the likelihood of the documents' labels; the sentence scores then locate what offends.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from ._runtime import added, doc_id, keyed, ship
 from ._text import ALNUM, Chunk, U, chunks, raw
 
-#: Labelled documents learnt from at most, word buckets (bits), documents that a word must be in, steps.
-SAMPLE, BITS, SEEN, STEPS = 12_000, 20, 8, 200
+#: Labelled documents learnt from at most, word buckets (bits), documents that a word must be in, its least
+#: likelihood ratio statistic, steps of a fit, shrinkage of weights, the weight below which a word is dropped, and
+#: the logit of a sentence whose words weigh nothing.
+SAMPLE, BITS, SEEN, EVIDENCE, STEPS, SHRINK, WEAK, BIAS = 12_000, 20, 4, 20, 200, 1e-4, 2.0, -5.0
 #: A document is rejected from here on.
 THRESHOLD = 0.3
 
@@ -43,11 +46,18 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     weights: np.ndarray
-    bias: float
+    bias: float  # the logit of a sentence whose words weigh nothing
+    leak: float
 
     def sentences(self, word: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
         """Score of each sentence."""
-        return sigmoid(self.bias + np.bincount(sentence, self.weights[word], minlength=n))
+        weight = self.weights[word]
+        known = np.bincount(sentence, weight != 0, minlength=n) > 0
+        return np.where(known, sigmoid(self.bias + np.bincount(sentence, weight, minlength=n)), 0.0)
+
+    def documents(self, p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Score of each of n documents, from its sentences'."""
+        return 1 - (1 - self.leak) * np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
@@ -59,7 +69,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
         sentences.append(s + at)
         docs.append(d + i)
         at += len(d)
-    none = Model(np.zeros(1 << BITS, np.float32), -30.0)
+    none = Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0)
     if not len(labels) or not labels.any():
         return none
     word, sentence, doc = np.concatenate(words), np.concatenate(sentences), np.concatenate(docs)
@@ -68,31 +78,40 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     of, w = seen >> BITS, seen & ((1 << BITS) - 1)
     total, toxic = np.bincount(w, minlength=1 << BITS), np.bincount(w, labels[of], minlength=1 << BITS)
     rate = labels.mean()
-    z = (toxic - rate * total) / np.sqrt(np.maximum(total * rate * (1 - rate), 1e-9))
-    chosen = np.flatnonzero((total >= SEEN) & (z > 4))
+    share = lambda k, expected: k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9))
+    g = 2 * (share(toxic, rate * total) + share(total - toxic, (1 - rate) * total))
+    chosen = np.flatnonzero((total >= SEEN) & (toxic > rate * total) & (g > EVIDENCE))
+    theta = _climb(word, sentence, doc, labels, chosen, np.minimum(np.sqrt(g[chosen]) / 4, 4))
+    strong = theta[:-1] > WEAK  # the shrinkage leaves the rest near 0; the fit is then repeated without them
+    chosen, start = chosen[strong], theta[:-1][strong]
+    theta = _climb(word, sentence, doc, labels, chosen, start)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[chosen] = np.where(theta[:-1] == 0, 1e-6, theta[:-1])
+    return Model(weights, BIAS, float(sigmoid(theta[-1])))
+
+
+def _climb(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, labels: np.ndarray, chosen: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Adam steps up the likelihood: the chosen words' weights and the leak's logit."""
     number = np.full(1 << BITS, -1)
     number[chosen] = np.arange(len(chosen))
     keep = number[word] >= 0
     feature, sentence = number[word[keep]], sentence[keep]
     n, labels = len(labels), labels.astype(float)
-    live, sentence = np.unique(sentence, return_inverse=True)  # sentences without a chosen word have the bias alone
-    idle = np.bincount(doc, minlength=n) - np.bincount(doc[live], minlength=n)
+    live, sentence = np.unique(sentence, return_inverse=True)
     doc = doc[live]
-    theta = np.append(np.minimum(z[chosen] / 4, 4), -6.0)
+    theta = np.append(start, -4.0)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        p = sigmoid(theta[-1] + np.bincount(sentence, theta[feature], minlength=len(doc)))
-        rest = sigmoid(theta[-1:])[0]
-        clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n) + idle * np.log1p(-rest))
+        p = sigmoid(BIAS + np.bincount(sentence, theta[feature], minlength=len(doc)))
+        leak = sigmoid(theta[-1])
+        clean = (1 - leak) * np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n))
         pull = labels * clean / np.maximum(1 - clean, 1e-9) - (1 - labels)
         by_sentence = p * pull[doc]
-        slope = np.append(np.bincount(feature, by_sentence[sentence], minlength=len(chosen)), by_sentence.sum() + (rest * pull * idle).sum()) / n
-        slope[:-1] -= 1e-4 * np.sign(theta[:-1])
+        slope = np.append(np.bincount(feature, by_sentence[sentence], minlength=len(chosen)), leak * pull.sum()) / n
+        slope[:-1] -= SHRINK * np.sign(theta[:-1])
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[chosen] = theta[:-1]
-    return Model(weights, float(theta[-1]))
+    return theta
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -101,8 +120,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     n = own.count()
     own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1, SAMPLE / max(1, n))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"].encode("utf-8", "replace") for r in rows], np.array([r["toxic"] > 0 for r in rows], bool))
+    toxic: dict[str, int] = {}  # copies of a text are one example, not evidence for each other
+    for r in rows:
+        toxic[r["text"]] = max(r["toxic"], toxic.get(r["text"], 0))
+    texts = sorted(toxic)
+    return fit([t.encode("utf-8", "replace") for t in texts], np.array([toxic[t] > 0 for t in texts], bool))
 
 
 def held_out(column: str) -> F.Column:
@@ -115,7 +137,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Takes doc_id and text (null: empty). Returns text and rest (see unkeyed()), doc_id, score, predicted, n_sentences,
     n_offending (sentences whose own score reaches the threshold) and worst_sentence (number of the first with
-    the greatest score, from 0; null without words). A text without words has score 0. A row for each row.
+    the greatest score, from 0; null without words). A text without words has the
+    leak as its score. A row for each row.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -128,7 +151,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 word, sentence, doc = bags(c)
                 p = model.sentences(word, sentence, len(doc))
                 n = j - i
-                total = 1 - np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
+                total = model.documents(p, doc, n)
                 count = np.bincount(doc, minlength=n)
                 first = np.cumsum(count) - count
                 order = np.lexsort((np.arange(len(doc)), -p, doc))
