@@ -207,15 +207,19 @@ def find(docs: DataFrame, w: Windows, match: Matcher, earlier: bool) -> Found:
         repeated = rows.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z")
     else:
         repeated = rows.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1")
-    mine = rows.distinct().join(repeated.select("anchor"), "anchor").groupBy("id", "th").agg(F.collect_list("anchor").alias("anchors"))
+    once = every.select("id", "th", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    mine = materialise(once.join(repeated.select("anchor"), "anchor").groupBy("id", "th").agg(F.collect_set("anchor").alias("anchors")))
+    del once, repeated, rows
+    release(spark)
     texts = materialise(docs.join(mine, ["id", "th"]))
-    del mine, repeated, rows
+    del mine
     release(spark)
     found = materialise(texts.mapInArrow(_contexts(w), "id long, th long, anchor long, digest long, at long, count long"))
 
     key = ["anchor", "digest"]
     first = F.min(F.struct("id", "th", "at", "count")).alias("r")
-    same = found.groupBy(*key).agg(F.count("*").alias("c"), first)
+    same = materialise(found.groupBy(*key).agg(F.count("*").alias("c"), first))
+    release(spark)
     if earlier:
         whole = found.join(same.select(*key, F.col("r.id").alias("least")), key).filter("id > least")
     else:
