@@ -8,45 +8,164 @@ code length of each id. Tables are written by Spark's own writers, so they may l
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._runtime import doc_id, keyed, materialise, release, scratch, ship
-from ._text import raw
+from ._text import SPACED, Chunk, U, chunks, ranges, raw
 from .huffman import Code, code_lengths
 
 #: Ids in a block at least, bits of a code at most, words that a worker keeps, ids that it encodes or decodes at once.
-BLOCK, LIMIT, CACHE, BATCH = 1 << 15, 18, 400_000, 1 << 20
+BLOCK, LIMIT, CACHE, BATCH = 1 << 15, 18, 1 << 21, 1 << 20
+
+
+#: Mapping of bytes to characters in byte-level vocabularies: visible ones stand for themselves, the others for
+#: those from 256 on, in order.
+_VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+_BYTES = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_VISIBLE))}
+#: Visible ASCII that is neither letter nor digit.
+_MARKS = frozenset(b for b in range(33, 127) if not chr(b).isalnum())
+
+
+class WordTable:
+    """Ids by word hash: open addressing over numpy arrays, so whole arrays of hashes are looked up at once."""
+
+    def __init__(self, width: str, capacity: int):
+        self.width, self.mask = width, 2 * capacity - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.key = np.zeros(self.mask + 1, U)
+        self.start, self.count = np.zeros(self.mask + 1, np.uint32), np.zeros(self.mask + 1, np.int32)
+        self.pool, self.used, self.words = np.zeros(1 << 16, self.width), 0, 0
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 if it isn't there."""
+        slot = (key & U(self.mask)).astype(np.int64)
+        open_ = np.arange(len(key))
+        while len(open_):
+            here = self.key[slot[open_]]
+            slot[open_[here == 0]] = -1
+            open_ = open_[(here != key[open_]) & (here != 0)]
+            slot[open_] = (slot[open_] + 1) & self.mask
+        return slot
+
+    def add(self, key: np.ndarray, ids: list[bytes]) -> None:
+        """Different keys that aren't there yet."""
+        flat = np.frombuffer(b"".join(ids), self.width)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], flat, np.zeros(self.used + len(flat), self.width)))
+        self.pool[self.used : self.used + len(flat)] = flat
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+        start = self.used + np.cumsum(count) - count
+        slot, left = (key & U(self.mask)).astype(np.int64), np.arange(len(key))
+        while len(left):
+            at, first = np.unique(slot[left], return_index=True)
+            free = self.key[at] == 0
+            at, won = at[free], left[first[free]]
+            self.key[at], self.start[at], self.count[at] = key[won], start[won], count[won]
+            rest = np.ones(len(left), bool)
+            rest[first[free]] = False
+            left = left[rest]
+            slot[left] = (slot[left] + (self.key[slot[left]] != 0)) & self.mask
+        self.used += len(flat)
+        self.words += len(key)
 
 
 class WordTokenizer:
-    """Ids of whole texts, from those of their words: exact where no token reaches over ASCII white space."""
+    """Ids of whole texts, from those of their words, where no token reaches over ASCII white space.
+
+    Works on tokenizers that normalize by NFC and lower case, split by a pattern and map bytes. The library's model
+    encodes each distinct piece of the pattern once; words beyond the Latin blocks, with marks to be composed,
+    control characters or special tokens are left to the library's whole pipeline. Other tokenizers encode whole texts.
+    """
 
     def __init__(self, description: str, width: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width = Tokenizer.from_str(description), width
-        self.known: dict[bytes, bytes] = {}
-
-    def batch(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text as an array of width."""
-        texts = [t.split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        new = list(set().union(*texts) - self.known.keys())
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, self.width).tobytes()) for w, e in zip(new, got))
-        for words in texts:
-            yield b"".join(map(self.known.__getitem__, words))
-
+        self.tokenizer, self.width, self.code = Tokenizer.from_str(description), width, {"<u2": "H", "<u4": "I"}[width]
+        self.known, self.pieces = WordTable(width, CACHE), {}
+        self.pattern = self._pattern(json.loads(description))
+        if self.pattern:
+            self.ascii = re.compile(self.pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+            self.latin = regex.compile(self.pattern)
+
+    @staticmethod
+    def _pattern(d: dict) -> str | None:
+        normalizers = [(n["type"], n.get("content")) for n in (d["normalizer"] or {}).get("normalizers", [])]
+        split = (d["pre_tokenizer"] or {}).get("pretokenizers", [])
+        fits = (
+            normalizers == [("NFC", None), ("Replace", " "), ("Lowercase", None)]
+            and [p["type"] for p in split] == ["Split", "ByteLevel"]
+            and split[0]["behavior"] == "Removed"
+            and split[0]["invert"]
+            and not split[1]["add_prefix_space"]
+            and not split[1]["use_regex"]
+            and all(t["content"].startswith("<|") for t in d["added_tokens"])
+        )
+        return split[0]["pattern"]["Regex"] if fits else None
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone
+            return self._piece(word.lower().decode())
+        if word[:-1].isalpha() and word[-1] in _MARKS:
+            return self._piece(word[:-1].lower().decode()) + self._piece(chr(word[-1]))
+        if b"<|" not in word:
+            if _PLAIN(word):
+                return b"".join(map(self._piece, self.ascii.findall(word.decode().lower())))
+            text = word.decode("utf-8", "replace")
+            if _LATIN(text) and unicodedata.is_normalized("NFC", text):
+                text = text.lower()
+                found = (text,) if text.isalpha() else self.latin.findall(text)
+                return b"".join([self._piece(p.encode().decode("latin-1").translate(_BYTES)) for p in found])
+        return self._whole([word])[0]
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.width).tobytes() for e in got]
+
+    def batch(self, c: Chunk) -> list[bytes]:
+        """The ids of each text of the chunk as an array of width."""
+        if not self.pattern:
+            return self._whole(c.texts)
+        c.words(SPACED)
+        if self.known.words > CACHE // 2:
+            self.known.clear()
+        if len(self.pieces) > CACHE // 16:
+            self.pieces = {}
+        key = np.maximum(c.hash ^ (c.end - c.start).astype(U), U(1))
+        slot = self.known.find(key)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            new, first = np.unique(key[missing], return_index=True)
+            self.known.add(new, [self._word(c.word(i)) for i in missing[first].tolist()])
+            slot[missing] = self.known.find(key[missing])
+        count = self.known.count[slot]
+        ids = self.known.pool[ranges(self.known.start[slot], count)]
+        end = np.concatenate(([0], np.cumsum(count)))
+        return [ids[a:z].tobytes() for a, z in zip(end[c.lo].tolist(), end[c.hi].tolist())]
+
+
+_PLAIN, _LATIN = re.compile(rb"[!-~]+").fullmatch, re.compile("[!-~\u00a0-\u024f]+").fullmatch
 
 _tokenizers: dict[int, WordTokenizer] = {}
 
@@ -70,9 +189,8 @@ def _tokenize(description, width: str, end: int):
             _tokenizers[key] = WordTokenizer(description.value, width)
         t = _tokenizers[key]
         for b in batches:
-            for i, texts in _parts(raw(b.column("text")), 1 << 21):
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, n), b.column("th").slice(i, n), pa.array([x + tail for x in t.batch(texts)], pa.binary())], ["id", "th", "ids"])
+            for i, j, c in chunks(raw(b.column("text"))):
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array([x + tail for x in t.batch(c)], pa.binary())], ["id", "th", "ids"])
 
     return run
 
@@ -123,18 +241,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str) -> TokenF
     docs = keyed(docs)
     bounds = id_bounds(docs.select("id"), buckets)
     ids = docs.mapInArrow(_tokenize(spark.sparkContext.broadcast(description), width, end), "id long, th long, ids binary")
-    ids = ids.withColumn("bucket", bucket_of(F.col("id"), bounds)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "id", "th")
+    ids = ids.withColumn("bucket", bucket_of(F.col("id"), bounds)).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "id", "th")
     ids = materialise(ids)
     release(spark)
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                own = np.bincount(np.frombuffer(x, width))
-                if len(own) > len(total):
-                    own, total = total, own
-                total[: len(own)] += own
+            own = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), width))
+            if len(own) > len(total):
+                own, total = total, own
+            total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
 
