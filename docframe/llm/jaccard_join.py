@@ -12,8 +12,9 @@ is missing is given back by v = 2 on the first segments, for which all classes i
 Classes for which that isn't enough find each other by the prefixes of their sorted sets.
 
 Classes with a common key are candidates and are verified on their whole texts. In a first round each key's
-members are compared with its least one only; then only members of different components are still compared, in
-blocks, so groups of near copies never make all their pairs, and no link between components is lost.
+members are compared with its least one only, in a few more with other members, as long as they lie in different
+components. What then still does is compared in blocks. So groups of near copies never make all their pairs, and no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from .components import components
 
 #: Keys in a bucket, keys held by a task before it sends them, members compared with one centre at once, members
 #: in a block, rows in a task that compares blocks, bytes of text in a verifying group.
-BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES = 1 << 20, 1 << 21, 256, 512, 1 << 16, 8 << 20
+BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES = 1 << 20, 1 << 21, 256, 512, 1 << 14, 8 << 20
+#: Rounds with other centres before all members of different components are compared, and centres of a class in each.
+ROUNDS, CENTRES = 2, 4
 BITS = 54
 _C1, _C2, _C3 = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 
@@ -285,35 +288,86 @@ def _verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     return asked.join(texts, "sig").groupBy("place").applyInArrow(compare, "a long, b long")
 
 
-def _across(groups: DataFrame, component: DataFrame, sizes: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) of each group whose members lie in different components and one of which probes."""
-    member = groups.join(component.withColumnRenamed("node", "sig"), "sig", "left").join(sizes, "sig").select("g", "sig", "probe", "n", F.coalesce("component", "sig").alias("component"))
-    member = materialise(member)
+def _spanning(groups: DataFrame, component: DataFrame) -> DataFrame:
+    """(g, sig, probe, component, c) of the groups whose members lie in different components; c is their number."""
+    member = groups.join(component.withColumnRenamed("node", "sig"), "sig", "left").select("g", "sig", "probe", F.coalesce("component", "sig").alias("component"))
     span_ = member.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("c")).filter("a <> z")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = member.join(span_.select("g", blocks.alias("blocks")), "g").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    return member.join(span_.select("g", "c"), "g")
+
+
+def _other_centres(spanning: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each member with another centre of its group, if that lies in another component.
+
+    Centres are least by a hash that few groups share, so that a member of many groups meets few of them.
+    """
+    order = F.xxhash64("sig", F.pmod("g", F.lit(CENTRES)), F.lit(turn))
+    centre = spanning.groupBy("g").agg(F.min(F.struct(order.alias("order"), "sig", "component", "probe")).alias("m"))
+    met = spanning.join(centre, "g").filter("component <> m.component and (probe or m.probe)")
+    return met.select(F.least("sig", "m.sig").alias("a"), F.greatest("sig", "m.sig").alias("b")).distinct()
+
+
+def _parities(sim: Similarity):
+    """(sig, parity): bit b says whether the set has an odd number of elements whose hash is b modulo the bits."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, c in chunks(raw(batch.column("text"))):
+                s, out = Sets(c, sim), []
+                for k in range(j - i):
+                    bits = 1 << max(6, int(s.size[k] - 1).bit_length())
+                    odd = np.bincount((s.mixed[s.first[k] : s.first[k + 1]] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+                    out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("sig").slice(i, j - i), pa.array(out, pa.binary())], ["sig", "parity"])
+
+    return run
+
+
+def _folded(parities: list[bytes]) -> np.ndarray:
+    """Rows of words, all as long as the shortest: parity modulo half the bits is the sum of both halves."""
+    size = min(map(len, parities))
+    out = np.zeros((len(parities), size), np.uint8)
+    for i, p in enumerate(parities):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(p, np.uint8).reshape(-1, size), axis=0)
+    return out.view(U)
+
+
+def _across(spanning: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of each group whose members lie in different components and one of which probes.
+
+    The members of a group are dealt into blocks, and each pair of blocks is compared in memory. Two sets can't be
+    linked if their parities differ in more bits than linked sets differ in elements, so hardly any pair that isn't
+    near the similarity leaves a block.
+    """
+    rows = spanning.join(texts.select("sig", "n"), "sig").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    total = rows.agg(F.sum("blocks")).first()[0] or 0
+    parity = texts.join(rows.select("sig").distinct(), "sig").select("sig", "text").mapInArrow(_parities(sim), "sig long, parity binary")
+    rows = rows.join(parity, "sig").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     # a member goes to every pair of blocks that has its own
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "sig", "probe", "n", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    total = span_.agg(F.sum(F.col("c") * F.ceil(F.col("c") / BLOCK))).first()[0] or 0
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("g", "sig", "probe", "n", "component", "parity", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = rows.withColumn("place", F.pmod(F.xxhash64("g", "i", "j"), F.lit(1 + int(total) // PLACE)))
 
     def cross(table: pa.Table) -> pa.Table:
         t = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("g", "i", "j", "sig", "probe", "n", "component", "own")}
         order = np.lexsort((t["j"], t["i"], t["g"]))
         t = {c: v[order] for c, v in t.items()}
+        parities = table.column("parity").to_pylist()
         new = np.flatnonzero(np.concatenate(([True], (t["g"][1:] != t["g"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1]))))
         found = [np.zeros((0, 2), np.int64)]
         for s, e in zip(new, np.append(new[1:], len(order))):
-            sig, n, part = t["sig"][s:e], t["n"][s:e], t["component"][s:e]
-            left = np.flatnonzero(t["own"][s:e] == t["i"][s])
-            right = np.flatnonzero(t["own"][s:e] == t["j"][s])
-            ok = (part[left][:, None] != part[right]) & (t["probe"][s:e][left][:, None] | t["probe"][s:e][right])
+            sig, n, part, probe = (t[c][s:e] for c in ("sig", "n", "component", "probe"))
+            bits = _folded([parities[o] for o in order[s:e]])
+            left, right = (np.flatnonzero(t["own"][s:e] == t[c][s]) for c in ("i", "j"))
+            ok = (part[left][:, None] != part[right]) & (probe[left][:, None] | probe[right])
             ok &= np.minimum(n[left][:, None], n[right]) * sim.den >= np.maximum(n[left][:, None], n[right]) * sim.num
             x, y = np.nonzero(ok)
-            pair = np.stack((sig[left[x]], sig[right[y]]), 1)
-            pair.sort(axis=1)
-            found.append(pair)
-        pair = np.unique(np.concatenate(found), axis=0)
+            for k in range(0, len(x), 1 << 14):
+                a, b = left[x[k : k + (1 << 14)]], right[y[k : k + (1 << 14)]]
+                near = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= sim.differing(n[a] + n[b])
+                found.append(np.stack((sig[a[near]], sig[b[near]]), 1))
+        pair = np.concatenate(found)
+        pair.sort(axis=1)
+        pair = np.unique(pair, axis=0)
         return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     return rows.groupBy("place").applyInArrow(cross, "a long, b long").distinct()
@@ -348,9 +402,14 @@ def jaccard_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     links = materialise(_verified(pairs, texts, sim))
     component = materialise(components(links))
     groups = met.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("sig"), "probe").distinct()
-    more = _across(groups, component, texts.select("sig", "n"), sim)
-    more = materialise(more.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
+    done = pairs
+    for turn in range(ROUNDS + 1):
+        spanning = materialise(_spanning(groups, component))
+        if spanning.isEmpty():
+            break
+        more = _other_centres(spanning, turn) if turn < ROUNDS else _across(spanning, texts, sim)
+        more = materialise(more.join(done, ["a", "b"], "left_anti"))
+        done = done.union(more)
         links = links.union(materialise(_verified(more, texts, sim)))
         component = materialise(components(links))
     release(spark)
