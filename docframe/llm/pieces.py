@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
+import numpy as np
+
+from ._text import Chunk, prefix, span
+
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -50,12 +53,32 @@ class Pieces:
         """Ids of a character without a piece."""
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
-    def pretokens(self, text: str) -> list[str]:
-        """Cuts of the text, a space put before it and spaces escaped, that no piece reaches over."""
-        if not text:
-            return []
-        text = SPACE + text.replace(" ", SPACE)
-        return _CUT.findall(text) if self.cut else [text]
+    def pretokens(self, texts: list[bytes]) -> Chunk:
+        """The texts, a space put before each, as a chunk whose words are cuts that no piece reaches over.
+
+        A cut begins at spaces behind something else, and at and behind a line's end.
+        """
+        c = Chunk([b" " + t if t else t for t in texts])
+        if not self.cut:
+            some = c.size > 0
+            c.start, c.end = c.at[some], (c.at + c.size)[some]
+        else:
+            space, line = c.data == 0x20, c.data == 0x0A
+            new = np.zeros(len(c.data) + 1, bool)
+            new[1:-1] = line[1:] | line[:-1] | (space[1:] & ~space[:-1])
+            between = c.at + c.size
+            new[c.at] = new[between] = True
+            new[-1] = True
+            start = np.flatnonzero(new)
+            real = np.ones(len(new), bool)
+            real[between] = False
+            keep = real[start[:-1]]
+            c.start, c.end = start[:-1][keep], start[1:][keep]
+        c.hash = span(prefix(c.bytes()), c.start, c.end)
+        c.lo, c.hi = np.searchsorted(c.start, c.at), np.searchsorted(c.start, c.at + c.size)
+        return c
 
 
-_CUT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+def escaped(word: bytes) -> str:
+    """Spaces as the model's pieces have them."""
+    return word.decode("utf-8", "replace").replace(" ", SPACE)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -16,12 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._runtime import doc_id, keyed, ship
-from ._text import raw
-from .pieces import Pieces
-from .token_output import _parts
-
-#: Pre-tokens whose ids a worker keeps.
-CACHE = 400_000
+from ._text import chunks, raw
+from .pieces import Pieces, escaped
+from .word_table import WordTable
 
 
 class Automaton:
@@ -83,21 +81,21 @@ class Automaton:
 
 
 class Codec:
-    """Encodes texts to arrays of 32-bit ids and back."""
+    """Encodes texts to arrays of 32-bit ids and back; keeps the ids of pre-tokens by hash."""
 
     def __init__(self, pieces: Pieces):
         pieces.unknown_score_ = pieces.unknown_score
         self.pieces, self.automaton = pieces, Automaton(pieces)
-        self.known: dict[str, bytes] = {}
+        self.table = WordTable("<u4")
+
+    def _make(self, words: list[bytes]) -> list[bytes]:
+        return [array("I", self.automaton.encode(escaped(w))).tobytes() for w in words]
 
-    def encode(self, text: str) -> np.ndarray:
-        words = self.pieces.pretokens(text)
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        for w in set(words) - known.keys():
-            known[w] = np.array(self.automaton.encode(w), "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        c = self.pieces.pretokens(texts)
+        ids, begin = self.table.look_up(c, self._make)
+        return [ids[a:z] for a, z in zip(begin[c.lo].tolist(), begin[c.hi].tolist())]
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.pieces.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -133,10 +131,9 @@ def sentencepiece_encode(docs: DataFrame, model: str, keep_ids: bool = True) ->
     def run(batches):
         c = codec(held)
         for b in batches:
-            for i, texts in _parts(raw(b.column("text")), 1 << 20):
-                rows = []
-                for t in texts:
-                    ids = c.encode(t.decode("utf-8", "replace"))
+            for i, j, chunk in chunks(raw(b.column("text"))):
+                texts, rows = chunk.texts, []
+                for t, ids in zip(texts, c.encode(texts)):
                     back = c.decode(ids).encode("utf-8")
                     rows.append((len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back).hexdigest(), back == t, ids.astype(np.int32) if keep_ids else None))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]

@@ -6,14 +6,15 @@ are computed once, from its ancestors, when the node is made. A pre-token's coun
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import doc_id, keyed, ship
-from ._text import raw
-from .pieces import Pieces
-from .token_output import _parts
+from ._text import chunks, raw
+from .pieces import Pieces, escaped
+from .word_table import WordTable
 
 #: Nodes of a trie before a worker begins a new one.
 NODES = 300_000
@@ -61,25 +62,44 @@ class CountTrie:
         return out
 
 
-_tries: dict[int, CountTrie] = {}
+class Counter:
+    """Counts of pre-tokens, kept by hash."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.trie, self.table = pieces, CountTrie(pieces), WordTable("<u4")
+
+    def _make(self, words: list[bytes]) -> list[bytes]:
+        if len(self.trie.best) > NODES:
+            self.trie.clear()
+        names = list(map(escaped, words))
+        order = sorted(range(len(names)), key=names.__getitem__)
+        out = [b""] * len(words)
+        for i, n in zip(order, self.trie.insert([names[i] for i in order])):
+            out[i] = n.to_bytes(4, "little")
+        return out
+
+    def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(pre-tokens, tokens) of each text."""
+        c = self.pieces.pretokens(texts)
+        n, _ = self.table.look_up(c, self._make)
+        total = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        return c.hi - c.lo, total[c.hi] - total[c.lo]
+
+
+_counters: dict[int, Counter] = {}
 
 
 def _count(held):
     def run(batches):
         pieces = held.value
-        trie = _tries.get(key := hash(tuple(pieces.scores.items())))
-        if trie is None:
-            _tries.clear()
-            trie = _tries[key] = CountTrie(pieces)
+        key = hash(tuple(pieces.scores.items()))
+        if key not in _counters:
+            _counters.clear()
+            _counters[key] = Counter(pieces)
         for b in batches:
-            for i, texts in _parts(raw(b.column("text")), 4 << 20):
-                words = [pieces.pretokens(t.decode("utf-8", "replace")) for t in texts]
-                if len(trie.best) > NODES:
-                    trie.clear()
-                distinct = sorted(set().union(*words))
-                of = dict(zip(distinct, trie.insert(distinct)))
-                n = [sum(map(of.__getitem__, w)) for w in words]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, len(n)), pa.array(n, pa.int64()), pa.array(list(map(len, words)), pa.int64())], ["id", "n_tokens", "n_pretokens"])
+            for i, j, c in chunks(raw(b.column("text"))):
+                pretokens, n = _counters[key].count(c.texts)
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(n), pa.array(pretokens)], ["id", "n_tokens", "n_pretokens"])
 
     return run
 

@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._runtime import doc_id, keyed, materialise, release, scratch, ship
-from ._text import SPACED, Chunk, U, chunks, ranges, raw
+from ._text import SPACED, Chunk, chunks, raw
 from .huffman import Code, code_lengths
+from .word_table import WordTable
 
 #: Ids in a block at least, bits of a code at most, words that a worker keeps, ids that it encodes or decodes at once.
 BLOCK, LIMIT, CACHE, BATCH = 1 << 15, 18, 1 << 21, 1 << 20
@@ -39,51 +40,6 @@ _BYTES = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(b for b in
 _MARKS = frozenset(b for b in range(33, 127) if not chr(b).isalnum())
 
 
-class WordTable:
-    """Ids by word hash: open addressing over numpy arrays, so whole arrays of hashes are looked up at once."""
-
-    def __init__(self, width: str, capacity: int):
-        self.width, self.mask = width, 2 * capacity - 1
-        self.clear()
-
-    def clear(self) -> None:
-        self.key = np.zeros(self.mask + 1, U)
-        self.start, self.count = np.zeros(self.mask + 1, np.uint32), np.zeros(self.mask + 1, np.int32)
-        self.pool, self.used, self.words = np.zeros(1 << 16, self.width), 0, 0
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 if it isn't there."""
-        slot = (key & U(self.mask)).astype(np.int64)
-        open_ = np.arange(len(key))
-        while len(open_):
-            here = self.key[slot[open_]]
-            slot[open_[here == 0]] = -1
-            open_ = open_[(here != key[open_]) & (here != 0)]
-            slot[open_] = (slot[open_] + 1) & self.mask
-        return slot
-
-    def add(self, key: np.ndarray, ids: list[bytes]) -> None:
-        """Different keys that aren't there yet."""
-        flat = np.frombuffer(b"".join(ids), self.width)
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate((self.pool[: self.used], flat, np.zeros(self.used + len(flat), self.width)))
-        self.pool[self.used : self.used + len(flat)] = flat
-        count = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
-        start = self.used + np.cumsum(count) - count
-        slot, left = (key & U(self.mask)).astype(np.int64), np.arange(len(key))
-        while len(left):
-            at, first = np.unique(slot[left], return_index=True)
-            free = self.key[at] == 0
-            at, won = at[free], left[first[free]]
-            self.key[at], self.start[at], self.count[at] = key[won], start[won], count[won]
-            rest = np.ones(len(left), bool)
-            rest[first[free]] = False
-            left = left[rest]
-            slot[left] = (slot[left] + (self.key[slot[left]] != 0)) & self.mask
-        self.used += len(flat)
-        self.words += len(key)
-
-
 class WordTokenizer:
     """Ids of whole texts, from those of their words, where no token reaches over ASCII white space.
 
@@ -148,20 +104,9 @@ class WordTokenizer:
         if not self.pattern:
             return self._whole(c.texts)
         c.words(SPACED)
-        if self.known.words > CACHE // 2:
-            self.known.clear()
         if len(self.pieces) > CACHE // 16:
             self.pieces = {}
-        key = np.maximum(c.hash ^ (c.end - c.start).astype(U), U(1))
-        slot = self.known.find(key)
-        missing = np.flatnonzero(slot < 0)
-        if len(missing):
-            new, first = np.unique(key[missing], return_index=True)
-            self.known.add(new, [self._word(c.word(i)) for i in missing[first].tolist()])
-            slot[missing] = self.known.find(key[missing])
-        count = self.known.count[slot]
-        ids = self.known.pool[ranges(self.known.start[slot], count)]
-        end = np.concatenate(([0], np.cumsum(count)))
+        ids, end = self.known.look_up(c, lambda words: [self._word(w) for w in words])
         return [ids[a:z].tobytes() for a, z in zip(end[c.lo].tolist(), end[c.hi].tolist())]
 
 
@@ -170,15 +115,6 @@ _PLAIN, _LATIN = re.compile(rb"[!-~]+").fullmatch, re.compile("[!-~\u00a0-\u024f
 _tokenizers: dict[int, WordTokenizer] = {}
 
 
-def _parts(texts: list[bytes | None], size: int) -> Iterator[tuple[int, list[bytes]]]:
-    first, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t or b"")
-        if total >= size or i + 1 == len(texts):
-            yield first, [x or b"" for x in texts[first : i + 1]]
-            first, total = i + 1, 0
-
-
 def _tokenize(description, width: str, end: int):
     tail = np.array([end], width).tobytes()
 

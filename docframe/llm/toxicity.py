@@ -21,7 +21,7 @@ from ._text import ALNUM, Chunk, U, chunks, raw
 #: Labelled documents learnt from at most, word buckets (bits), documents that a word must be in, its least
 #: likelihood ratio statistic, steps of a fit, shrinkage of weights, the weight below which a word is dropped, and
 #: the logit of a sentence whose words weigh nothing.
-SAMPLE, BITS, SEEN, EVIDENCE, STEPS, SHRINK, WEAK, BIAS = 12_000, 20, 4, 20, 200, 1e-4, 2.0, -5.0
+SAMPLE, BITS, SEEN, EVIDENCE, STEPS, SHRINK, WEAK, BIAS = 8_000, 20, 4, 20, 200, 1e-4, 2.0, -5.0
 #: A document is rejected from here on.
 THRESHOLD = 0.3
 
@@ -119,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     own = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = own.count()
     own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1, SAMPLE / max(1, n))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
     toxic: dict[str, int] = {}  # copies of a text are one example, not evidence for each other
     for r in rows:
         toxic[r["text"]] = max(r["toxic"], toxic.get(r["text"], 0))

@@ -12,12 +12,14 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
+from docframe.llm._text import SPACED, Chunk
 from docframe.llm.huffman import Code, code_lengths
-from docframe.llm.pieces import Pieces
+from docframe.llm.pieces import Pieces, escaped
 from docframe.llm.sentencepiece_codec import Codec, sentencepiece_encode
 from docframe.llm.token_counts import CountTrie, token_counts
 from docframe.llm import token_counts as counting
-from docframe.llm.token_output import token_output, write_tokens, read_tokens
+from docframe.llm.token_output import read_tokens, token_output, write_tokens
+from docframe.llm.word_table import WordTable
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -129,9 +131,11 @@ def test_sentencepiece_is_the_best_segmentation(pieces):
     codec = Codec(pieces)
     trie = CountTrie(pieces)
     for t in texts(5, 80):
-        ids = codec.encode(t or "").tolist()
+        ids = codec.encode([(t or "").encode()])[0].tolist()
         assert ids == viterbi(pieces, t or "")
-        words = pieces.pretokens(t or "")
+        c = pieces.pretokens([(t or "").encode()])
+        words = [escaped(c.word(i)) for i in range(len(c.start))]
+        assert "".join(words) == ("▁" + t.replace(" ", "▁") if t else "")
         assert sum(trie.insert(sorted(words))) == len(ids)
 
 
@@ -145,11 +149,25 @@ def test_sentencepiece_as_the_library_has_it(pieces):
     codec, r = Codec(pieces), random.Random(6)
     for _ in range(300):
         t = " ".join("".join(r.choice("abcdefghinorst") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 6)))
-        ids = codec.encode(t)
+        ids = codec.encode([t.encode()])[0]
         assert ids.tolist() == library.encode(t)
         assert codec.decode(ids) == library.decode(ids.tolist()) == t
 
 
+def test_word_table():
+    """Tiny tables, which are cleared and have crowded slots."""
+    table = WordTable("<u2", 4)
+    make = lambda words: [np.frombuffer(w[:3] + b"\0" * (-len(w[:3]) % 2), "<u2").tobytes() for w in words]
+    r = random.Random(1)
+    for _ in range(200):
+        texts = [" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 9))).encode() for _ in range(3)]
+        c = Chunk(texts)
+        c.words(SPACED)
+        ids, begin = table.look_up(c, make)
+        got = [ids[a:z].tobytes() for a, z in zip(begin[:-1], begin[1:])]
+        assert got == make([w for t in texts for w in t.split()])
+
+
 def test_encode_and_count_tables(spark, pieces, monkeypatch):
     monkeypatch.setattr(counting, "NODES", 50)
     rows = [(i, t, 0) for i, t in enumerate(texts(7))] + [(None, "null id", 0), (3, "\n\n", 0)]
