@@ -1,41 +1,25 @@
 """Compares a query with its SQL over the tables of a folder."""
 
-import hashlib
-import sys
-import time
-
 import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def same(spark, entry, name, folder):
-    t = time.time()
-    got = entry.queries()[name](spark, folder)
-    cols = sorted(got.columns)
-    rows = sorted(map(repr, (tuple(r[c] for c in cols) for r in got.collect())))
-    took = time.time() - t
-    con = duckdb.connect()
-    for x in TABLES:
-        con.execute(f"CREATE VIEW {x} AS SELECT * FROM '{folder}/{x}.parquet'")
-    t = time.time()
-    res = con.execute(entry.oracle_sql()[name])
-    names = [d[0] for d in res.description]
-    at = [names.index(c) for c in cols]
-    want = sorted(repr(tuple(r[i] for i in at)) for r in res.fetchall())
-    print(name, len(rows), len(want), rows == want, round(took, 1), round(time.time() - t, 1), hashlib.md5("".join(rows).encode()).hexdigest()[:8])
-    if rows != want:
-        print([x for x in zip(rows, want) if x[0] != x[1]][:3])
-    return cols == sorted(names) and rows == want
-
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
-if __name__ == "__main__":
-    sys.path.insert(0, "/root/repo")
-    from pyspark.sql import SparkSession
 
-    import __spark_entry__ as entry
-
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
-    for name in sys.argv[2:] or entry.oracle_sql():
-        same(spark, entry, name, sys.argv[1])
+def differences(spark, entry, name, folder):
+    """Rows, columns and types of the query that the SQL doesn't have, and the other way round."""
+    got = entry.queries()[name](spark, folder)
+    names = sorted(got.columns)
+    rows = sorted(repr(tuple(r[c] for c in names)) for r in got.collect())
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    sql = entry.oracle_sql()[name]
+    kinds = {n: str(k) for n, k, *_ in con.execute(f"DESCRIBE {sql}").fetchall()}
+    res = con.execute(sql)
+    at = [d[0] for d in res.description]
+    want = sorted(repr(tuple(r[at.index(c)] for c in names)) for r in res.fetchall()) if sorted(at) == names else at
+    out = [] if rows == want else [x for x in zip(rows, want) if x[0] != x[1]][:3] + [(len(rows), len(want))]
+    return out + [(c, k) for c, k in got.dtypes if KINDS.get(k) != kinds.get(c)]
