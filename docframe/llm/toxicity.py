@@ -21,7 +21,7 @@ from ._text import ALNUM, Chunk, U, chunks, raw
 #: Labelled documents learnt from at most, word buckets (bits), documents that a word must be in, its least
 #: likelihood ratio statistic, steps of a fit, shrinkage of weights, the weight below which a word is dropped, and
 #: the logit of a sentence whose words weigh nothing.
-SAMPLE, BITS, SEEN, EVIDENCE, STEPS, SHRINK, WEAK, BIAS = 8_000, 20, 4, 20, 200, 1e-4, 2.0, -5.0
+SAMPLE, BITS, SEEN, EVIDENCE, STEPS, SHRINK, WEAK, BIAS = 8_000, 20, 4, 15, 200, 1e-4, 2.0, -5.0
 #: A document is rejected from here on.
 THRESHOLD = 0.3
 
