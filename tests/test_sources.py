@@ -8,6 +8,7 @@ from docframe import Filter, Query, Sort
 from docframe.errors import AlreadyFinalised, ClosedError, CommitConflict, Conflict, LogError, ManifestError
 from docframe.sources.documents import VersionedStore, applied, conflicts
 from docframe.sources.store import Collection, Config, Store
+from docframe.streaming.incremental import filtered_changes
 from docframe.streaming.live import CHANGES, ChangeLog, Event, LiveQuery, collection_watch, prefix_watch
 
 
@@ -203,3 +204,22 @@ def test_watches_as_streams(spark, tmp_path):
         q.awaitTermination()
     got = {n: sorted(r["key"] for r in spark.table(n).collect()) for n in ("w1", "w2", "w3")}
     assert got == {"w1": ["user:1", "user:12"], "w2": ["user:1"], "w3": ["order:1"]}
+
+
+def test_incremental_changes(spark, tmp_path):
+    kind = "doc_id long, name string, age int, seq long, is_tombstone boolean"
+    batches = [
+        [(1, "a", 30, 1, False), (2, "b", 10, 2, False), (3, None, 40, 3, False)],
+        [(1, "a", 31, 4, False), (2, "b", 20, 5, False), (3, None, 40, 6, False)],
+        [(1, "a", 5, 8, False), (1, "a", 50, 7, False), (2, None, None, 9, True), (4, "d", 1, 10, False), (3, "late", 99, 2, False)],
+    ]
+    path, out = str(tmp_path / "versions"), []
+    spark.createDataFrame([], kind).write.parquet(path)
+    stream = filtered_changes(spark.readStream.schema(kind).parquet(path), Filter.gte("age", 18))
+    for rows in batches:
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(path)
+        seen = []
+        q = stream.writeStream.foreachBatch(lambda df, _, seen=seen: seen.extend(sorted(map(tuple, df.collect())))).trigger(availableNow=True)
+        q.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+        out.append(seen)
+    assert out == [[("added", 1, "a", 30), ("added", 3, None, 40)], [("added", 2, "b", 20), ("updated", 1, "a", 31)], [("removed", 1, "a", 31), ("removed", 2, "b", 20)]]
