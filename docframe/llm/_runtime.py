@@ -8,6 +8,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -42,10 +43,17 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of frames that are no longer referenced."""
-    gc.collect()
-    with contextlib.suppress(AttributeError):
-        spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner remove the shuffle files of frames that are no longer referenced.
+
+    It works in the background, so on a cluster it is called twice and given a moment each time.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    for _ in range(2 if shared else 1):
+        gc.collect()
+        with contextlib.suppress(AttributeError):
+            spark.sparkContext._jvm.System.gc()
+        if shared:
+            time.sleep(0.3)
 
 
 def ship(spark: SparkSession) -> None:

@@ -33,7 +33,7 @@ from .components import components
 
 #: Keys in a bucket, keys held by a task before it sends them, members compared with one centre at once, members
 #: in a block, rows in a task that compares blocks, bytes of text in a verifying group.
-BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES = 1 << 20, 1 << 21, 256, 512, 1 << 14, 8 << 20
+BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES = 1 << 19, 1 << 20, 256, 512, 1 << 14, 4 << 20
 #: Rounds with other centres before all members of different components are compared, and centres of a class in each.
 ROUNDS, CENTRES = 2, 4
 BITS = 54
@@ -255,11 +255,32 @@ def _stars(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c) for c in out], ["kind", "x", "y", "probe"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """Those of pairs (a, b) whose texts are linked. texts: (sig, n, text)."""
-    sizes = texts.select("sig", "n")
-    near = pairs.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
-    near = materialise(near.filter(F.least("na", "nb") * sim.den >= F.greatest("na", "nb") * sim.num).select("a", "b", "nb"))
+def _near(sim: Similarity):
+    """Pairs whose sizes and parities don't rule out that they are linked."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            first, second = batch.column("pa").to_pylist(), batch.column("pb").to_pylist()
+            sizes = np.array([(len(x), len(y)) for x, y in zip(first, second)], np.int64).reshape(n, 2)
+            keep = np.minimum(na, nb) * sim.den >= np.maximum(na, nb) * sim.num
+            for size in np.unique(sizes, axis=0):
+                rows = np.flatnonzero(keep & (sizes == size).all(1))
+                if len(rows):
+                    x, y = (_folded([p[r] for r in rows], int(size.min())) for p in (first, second))
+                    far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) > sim.differing(na[rows] + nb[rows])
+                    keep[rows[far]] = False
+            yield batch.select(["a", "b", "nb"]).filter(pa.array(keep))
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, parity: DataFrame, sim: Similarity) -> DataFrame:
+    """Those of pairs (a, b) whose texts are linked. texts: (sig, text), parity: (sig, n, parity)."""
+    of = lambda c: parity.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+    near = materialise(near.mapInArrow(_near(sim), "a long, b long, nb long"))
     bulk = near.agg(F.sum("nb")).first()[0] or 0
     groups = max(1, -(-int(bulk) * 8 // GROUP_BYTES))
     parts = near.groupBy("a").agg(F.ceil(F.count("*") / CENTRE).alias("parts"))
@@ -290,7 +311,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
 
 def _spanning(groups: DataFrame, component: DataFrame) -> DataFrame:
     """(g, sig, probe, component, c) of the groups whose members lie in different components; c is their number."""
-    member = groups.join(component.withColumnRenamed("node", "sig"), "sig", "left").select("g", "sig", "probe", F.coalesce("component", "sig").alias("component"))
+    member = groups.select("g", "sig", "probe").join(component.withColumnRenamed("node", "sig"), "sig", "left").select("g", "sig", "probe", F.coalesce("component", "sig").alias("component"))
     span_ = member.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("c")).filter("a <> z")
     return member.join(span_.select("g", "c"), "g")
 
@@ -307,7 +328,7 @@ def _other_centres(spanning: DataFrame, turn: int) -> DataFrame:
 
 
 def _parities(sim: Similarity):
-    """(sig, parity): bit b says whether the set has an odd number of elements whose hash is b modulo the bits."""
+    """(sig, n, parity): bit b says whether the set has an odd number of elements whose hash is b modulo the bits."""
 
     def run(batches):
         for batch in batches:
@@ -317,31 +338,29 @@ def _parities(sim: Similarity):
                     bits = 1 << max(6, int(s.size[k] - 1).bit_length())
                     odd = np.bincount((s.mixed[s.first[k] : s.first[k + 1]] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
                     out.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("sig").slice(i, j - i), pa.array(out, pa.binary())], ["sig", "parity"])
+                yield pa.RecordBatch.from_arrays([batch.column("sig").slice(i, j - i), pa.array(s.size, pa.int64()), pa.array(out, pa.binary())], ["sig", "n", "parity"])
 
     return run
 
 
-def _folded(parities: list[bytes]) -> np.ndarray:
-    """Rows of words, all as long as the shortest: parity modulo half the bits is the sum of both halves."""
-    size = min(map(len, parities))
+def _folded(parities: list[bytes], size: int) -> np.ndarray:
+    """Rows of words of size bytes: parity modulo half the bits is the sum of both halves."""
     out = np.zeros((len(parities), size), np.uint8)
     for i, p in enumerate(parities):
-        out[i] = np.bitwise_xor.reduce(np.frombuffer(p, np.uint8).reshape(-1, size), axis=0)
+        out[i] = np.frombuffer(p, np.uint8) if len(p) == size else np.bitwise_xor.reduce(np.frombuffer(p, np.uint8).reshape(-1, size), axis=0)
     return out.view(U)
 
 
-def _across(spanning: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+def _across(spanning: DataFrame, parity: DataFrame, sim: Similarity) -> DataFrame:
     """Pairs (a, b) of each group whose members lie in different components and one of which probes.
 
     The members of a group are dealt into blocks, and each pair of blocks is compared in memory. Two sets can't be
     linked if their parities differ in more bits than linked sets differ in elements, so hardly any pair that isn't
     near the similarity leaves a block.
     """
-    rows = spanning.join(texts.select("sig", "n"), "sig").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    rows = spanning.join(parity, "sig").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
     total = rows.agg(F.sum("blocks")).first()[0] or 0
-    parity = texts.join(rows.select("sig").distinct(), "sig").select("sig", "text").mapInArrow(_parities(sim), "sig long, parity binary")
-    rows = rows.join(parity, "sig").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     # a member goes to every pair of blocks that has its own
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("g", "sig", "probe", "n", "component", "parity", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -356,7 +375,8 @@ def _across(spanning: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame
         found = [np.zeros((0, 2), np.int64)]
         for s, e in zip(new, np.append(new[1:], len(order))):
             sig, n, part, probe = (t[c][s:e] for c in ("sig", "n", "component", "probe"))
-            bits = _folded([parities[o] for o in order[s:e]])
+            own = [parities[o] for o in order[s:e]]
+            bits = _folded(own, min(map(len, own)))
             left, right = (np.flatnonzero(t["own"][s:e] == t[c][s]) for c in ("i", "j"))
             ok = (part[left][:, None] != part[right]) & (probe[left][:, None] | probe[right])
             ok &= np.minimum(n[left][:, None], n[right]) * sim.den >= np.maximum(n[left][:, None], n[right]) * sim.num
@@ -395,24 +415,26 @@ def jaccard_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     release(spark)
 
     pairs = met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select("sig", "n", F.col("r.id").alias("id"), F.col("r.th").alias("th"))
-    texts = materialise(docs.dropDuplicates(["id", "th"]).join(asked, ["id", "th"]).select("sig", "n", "text"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select("sig", F.col("r.id").alias("id"), F.col("r.th").alias("th"))
+    texts = materialise(docs.dropDuplicates(["id", "th"]).join(asked, ["id", "th"]).select("sig", "text"))
+    parity = materialise(texts.mapInArrow(_parities(sim), "sig long, n long, parity binary"))
     del asked
     release(spark)
-    links = materialise(_verified(pairs, texts, sim))
+    links = materialise(_verified(pairs, texts, parity, sim))
     component = materialise(components(links))
     groups = met.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("sig"), "probe").distinct()
     done = pairs
     for turn in range(ROUNDS + 1):
-        spanning = materialise(_spanning(groups, component))
+        groups = spanning = materialise(_spanning(groups, component))  # components only grow, so other groups are done
         if spanning.isEmpty():
             break
-        more = _other_centres(spanning, turn) if turn < ROUNDS else _across(spanning, texts, sim)
+        more = _other_centres(spanning, turn) if turn < ROUNDS else _across(spanning, parity, sim)
         more = materialise(more.join(done, ["a", "b"], "left_anti"))
         done = done.union(more)
-        links = links.union(materialise(_verified(more, texts, sim)))
+        links = links.union(materialise(_verified(more, texts, parity, sim)))
         component = materialise(components(links))
-    release(spark)
+        del spanning, more
+        release(spark)
     named = info.join(component.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.filter("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     named = named.join(least, "component", "left")
