@@ -65,16 +65,16 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     words, sentences, docs, at = [], [], [], 0
     for i, _, c in chunks(texts):
         w, s, d = bags(c)
-        words.append(w)
-        sentences.append(s + at)
+        words.append(w.astype(np.int32))
+        sentences.append((s + at).astype(np.int32))
         docs.append(d + i)
         at += len(d)
-    none = Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0)
+    none = Model(np.zeros(1 << BITS, np.float32), BIAS, 0.0)
     if not len(labels) or not labels.any():
         return none
     word, sentence, doc = np.concatenate(words), np.concatenate(sentences), np.concatenate(docs)
     # words that differ between the labels by more than chance
-    seen = np.unique(doc[sentence] << BITS | word) if len(word) else np.zeros(0, np.int64)
+    seen = np.unique(doc[sentence].astype(np.int64) << BITS | word) if len(word) else np.zeros(0, np.int64)
     of, w = seen >> BITS, seen & ((1 << BITS) - 1)
     total, toxic = np.bincount(w, minlength=1 << BITS), np.bincount(w, labels[of], minlength=1 << BITS)
     rate = labels.mean()
@@ -119,12 +119,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     own = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = own.count()
     own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1, SAMPLE / max(1, n))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
-    toxic: dict[str, int] = {}  # copies of a text are one example, not evidence for each other
-    for r in rows:
-        toxic[r["text"]] = max(r["toxic"], toxic.get(r["text"], 0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select("toxic", "text")
+    parts = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_fitted, "bucket long, weight double").collect()
+    weights, leak = np.zeros(1 << BITS, np.float32), 0.0
+    for r in parts:
+        if r["bucket"] < 0:
+            leak = r["weight"]
+        else:
+            weights[r["bucket"]] = r["weight"]
+    return Model(weights, BIAS, leak)
+
+
+def _fitted(table: pa.Table) -> pa.Table:
+    """(bucket, weight) of the words that have one; bucket -1 is the leak. For the sample, in one task."""
+    toxic: dict[bytes, int] = {}  # copies of a text are one example, not evidence for each other
+    for text, label in zip(raw(table.column("text").combine_chunks()), table.column("toxic").to_pylist()):
+        toxic[text or b""] = max(label, toxic.get(text or b"", 0))
     texts = sorted(toxic)
-    return fit([t.encode("utf-8", "replace") for t in texts], np.array([toxic[t] > 0 for t in texts], bool))
+    model = fit(texts, np.array([toxic[t] > 0 for t in texts], bool))
+    used = np.flatnonzero(model.weights)
+    return pa.table({"bucket": pa.array([-1, *used.tolist()], pa.int64()), "weight": pa.array([model.leak, *model.weights[used].tolist()], pa.float64())})
 
 
 def held_out(column: str) -> F.Column:
