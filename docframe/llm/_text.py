@@ -6,6 +6,8 @@ so the arrays below stay small and in cache. All hashes are 64 bit and depend on
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,3 +126,16 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     total = int(count.sum())
     first = np.cumsum(count) - count
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(start, np.int64) - first, count)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few rows at a time become Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: an idle worker stays for the next stage beside others."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import NO_ID, doc_id, keyed, materialise, release, ship
-from ._text import SPACED, Chunk, U, chunks, grams, mix, prefix, ranges, raw, span
+from ._text import SPACED, Chunk, U, chunks, grams, mix, prefix, ranges, raw, span, trim
 from .components import components
 
 #: Keys in a bucket, keys held by a task before it sends them, members compared with one centre at once, members
@@ -213,6 +213,8 @@ def _keyed(sim: Similarity, buckets: int):
                     held, n = [], 0
         if n:
             yield packed(*map(np.concatenate, zip(*held)))
+        held.clear()
+        trim()
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import keyed, materialise, release, ship
-from ._text import SPACED, Chunk, U, chunks, grams, lists, mix, prefix, ranges, raw, span
+from ._text import SPACED, Chunk, U, chunks, grams, lists, mix, prefix, ranges, raw, slices, span, trim
 
 #: Distinct contexts of one anchor in a shard, and bytes of contexts in a shard.
 HOT, SHARD_BYTES = 4096, 2 << 20
@@ -123,6 +123,7 @@ def _contexts(w: Windows):
                     [pa.array(x) for x in (ids[i + d], ths[i + d], r.anchor[k].view(np.int64), r.digest[k].view(np.int64), r.at[k] - r.lo[d], r.count[k].astype(np.int64))],
                     ["id", "th", "anchor", "digest", "at", "count"],
                 )
+        trim()
 
     return run
 
@@ -130,8 +131,10 @@ def _contexts(w: Windows):
 def _snippets(w: Windows):
     """The units under each picked run, words joined by a space."""
 
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, ths = b.column("id").to_pylist(), b.column("th").to_pylist()
             out: list[tuple] = []
             for i, text, picks in zip(range(len(ids)), raw(b.column("text")), b.column("picks").to_pylist()):
@@ -140,7 +143,6 @@ def _snippets(w: Windows):
                     part = units[p["at"] : p["at"] + p["count"] + w.size - 1]
                     out.append((p["shard"], p["hot"], ids[i], ths[i], p["at"], p["count"], b" ".join(part) if w.words else part))
             if out:
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["shard", "hot", "id", "th", "at", "count", "part"])
 
     return run
@@ -251,7 +253,10 @@ def find(docs: DataFrame, w: Windows, match: Matcher, earlier: bool) -> Found:
 
     def cold(table: pa.Table) -> pa.Table:
         s = Shard(table, w)
-        return _spans(s, match(s, w), w)
+        out = _spans(s, match(s, w), w)
+        del s
+        trim()
+        return out
 
     spans = [whole, snippets.filter("not hot").groupBy("shard").applyInArrow(cold, SPANS)]
     if any_hot:
@@ -311,7 +316,7 @@ def removed(found: Found, w: Windows, keep_text: bool) -> DataFrame:
     """(id, th, n, n_removed, n_spans, sha) of all documents, and, of those that lose units, the kept text if keep_text."""
 
     def cut(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text, spans in zip(raw(b.column("text")), b.column("spans").to_pylist()):
                 units, runs, at, kept = (text.split() if w.words else text), covered([(s["at"], s["to"]) for s in spans]), 0, []

@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._runtime import doc_id, keyed, ship
-from ._text import chunks, raw
+from ._text import chunks, lists, raw, slices
 from .pieces import Pieces, escaped
 from .word_table import WordTable
 
+#: Pre-tokens whose ids a worker keeps.
+WORDS = 3 << 18
+
 
 class Automaton:
     """States by breadth: goto, failure link, the piece that ends there (length, score, id), next state with one."""
@@ -50,6 +53,8 @@ class Automaton:
                 queue.append(child)
         for child in self.goto[0].values():
             self.link[child] = 0
+        none: dict[str, int] = {}
+        self.goto = [g or none for g in self.goto]
 
     def encode(self, word: str) -> list[int]:
         """Ids of the segmentation with the greatest sum of scores."""
@@ -86,7 +91,7 @@ class Codec:
     def __init__(self, pieces: Pieces):
         pieces.unknown_score_ = pieces.unknown_score
         self.pieces, self.automaton = pieces, Automaton(pieces)
-        self.table = WordTable("<u4")
+        self.table = WordTable("<u4", WORDS)
 
     def _make(self, words: list[bytes]) -> list[bytes]:
         return [array("I", self.automaton.encode(escaped(w))).tobytes() for w in words]
@@ -130,15 +135,17 @@ def sentencepiece_encode(docs: DataFrame, model: str, keep_ids: bool = True) ->
 
     def run(batches):
         c = codec(held)
-        for b in batches:
+        for b in slices(batches, 1024):
             for i, j, chunk in chunks(raw(b.column("text"))):
-                texts, rows = chunk.texts, []
+                texts, rows, kept = chunk.texts, [], []
                 for t, ids in zip(texts, c.encode(texts)):
                     back = c.decode(ids).encode("utf-8")
-                    rows.append((len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back).hexdigest(), back == t, ids.astype(np.int32) if keep_ids else None))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
+                    rows.append((len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back).hexdigest(), back == t))
+                    kept.append(ids)
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+                all_ids = lists(np.concatenate(kept).astype(np.int32), np.fromiter(map(len, kept), np.int64), pa.int32()) if keep_ids else pa.nulls(len(texts), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(i, len(texts)), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))],
+                    [b.column("id").slice(i, len(texts)), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds)), all_ids],
                     ["id", "n_tokens", "ids_crc32", "decoded_sha256", "restored", "ids"],
                 )
 

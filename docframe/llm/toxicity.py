@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import added, doc_id, keyed, ship
-from ._text import ALNUM, Chunk, U, chunks, raw
+from ._text import ALNUM, Chunk, U, chunks, raw, trim
 
 #: Labelled documents learnt from at most, word buckets (bits), documents that a word must be in, its least
 #: likelihood ratio statistic, steps of a fit, shrinkage of weights, the weight below which a word is dropped, and
@@ -138,6 +138,8 @@ def _fitted(table: pa.Table) -> pa.Table:
     texts = sorted(toxic)
     model = fit(texts, np.array([toxic[t] > 0 for t in texts], bool))
     used = np.flatnonzero(model.weights)
+    del texts, toxic
+    trim()
     return pa.table({"bucket": pa.array([-1, *used.tolist()], pa.int64()), "weight": pa.array([model.leak, *model.weights[used].tolist()], pa.float64())})
 
 
