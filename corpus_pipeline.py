@@ -26,9 +26,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that with the least doc_id; all without words."""
     found = jaccard_classes(docs)
-    first = found.filter("component_id <=> doc_id").groupBy("id").agg(F.min("th").alias("th"), F.max("n_shingles").alias("n"))
+    first = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("id", "th", F.col("n_shingles").alias("n"))).alias("first")).select("first.*")
     blank = found.filter("n_shingles = 0").select("id", "th", F.lit(0).cast("long").alias("n")).distinct()
-    keep = materialise(first.filter("n > 0").unionByName(blank).groupBy("id", "th").agg(F.min("n").alias("n")))
+    keep = materialise(first.unionByName(blank).groupBy("id", "th").agg(F.min("n").alias("n")))
     rows = keyed(docs, keep=True).join(keep, ["id", "th"])
     copy = F.row_number().over(Window.partitionBy("id", "th").orderBy("n"))
     return unkeyed(rows.withColumn("copy", copy).filter("copy = 1 or n = 0"), docs)

@@ -399,8 +399,8 @@ def jaccard_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     """Near-duplicate classes: documents whose shingle sets reach the similarity are linked.
 
     Takes doc_id and text; A-Z are lower-cased, words are runs of anything but ASCII white space. Returns per
-    row id, th (see keyed()), doc_id, n_shingles and component_id, the least doc_id reachable by links, itself
-    included. Fewer words than a shingle has make one shingle; null, empty and blank texts have none and are
+    row id, th (see keyed()), doc_id, n_shingles, component_id, the least doc_id reachable by links, itself
+    included, and component, which tells classes apart where doc_id is null or repeated. Fewer words than a shingle has make one shingle; null, empty and blank texts have none and are
     linked with nothing. Rows with equal texts are linked; a null doc_id counts as the least id and is
     given as null; other columns are ignored.
     """
@@ -440,4 +440,4 @@ def jaccard_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     named = info.join(component.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.filter("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     named = named.join(least, "component", "left")
-    return named.select("id", "th", doc_id(), F.col("n").alias("n_shingles"), F.nullif(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")), F.lit(NO_ID)).alias("component_id"))
+    return named.select("id", "th", doc_id(), F.col("n").alias("n_shingles"), F.nullif(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")), F.lit(NO_ID)).alias("component_id"), "component")

@@ -102,3 +102,12 @@ def test_stages_on_empty_and_odd_tables(spark):
             if k < 4:
                 docs = spark.createDataFrame(docs.collect(), schema)
         assert docs.count() == n
+
+
+def test_one_document_of_each_class(spark):
+    """Classes stay apart where their least id is null or a repeated one."""
+    words = lambda k, n=30: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(None, words(k)) for k in range(6)] + [(7, words(10)), (7, words(11)), (8, words(11) + " more"), (None, words(12)), (9, words(12) + " more"), (10, words(13)), (10, words(13)), (11, ""), (11, "")]
+    got = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), DATA)
+    want = [(None, words(k)) for k in (0, 1, 2, 3, 4, 5, 12)] + [(7, words(10)), (7, words(11)), (10, words(13)), (11, ""), (11, "")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
