@@ -1,10 +1,12 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text's letters are its pieces: runs of up to PIECE characters that aren't white space. Each K consecutive
+A text's letters are its pieces: up to PIECE characters that aren't ASCII white space, cut one after the other
+from the start of a run. Behind the first RUN characters of a run, which no word reaches, a piece begins at
+every character, so a change in a long run moves the cuts of its first RUN characters at most. Each K consecutive
 pieces make a k-mer, whose K - 1 pairs of neighbours are its inner substrings. A k-mer is chosen if the least
-pair hash stands at either edge: that depends on nothing around it, so equal stretches of two texts choose
-equal anchors. The fingerprint is the SIZE least hashes of chosen k-mers; the likeness of two is the share of
-the SIZE least of both that both have, which estimates the resemblance of the sets of anchors.
+pair hash stands at either edge: that depends on nothing but its pieces, so stretches of two texts that are cut
+alike choose equal anchors. The fingerprint is the SIZE least hashes of chosen k-mers; the likeness of two is the
+share of the SIZE least of both that both have, which estimates the resemblance of the sets of anchors.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from pyspark.sql import functions as F
 from ._runtime import doc_id, keyed
 from .token_output import bucket_of, id_bounds
 
-PIECE, K, SIZE = 4, 8, 64
+PIECE, K, SIZE, RUN = 4, 8, 64, 64
 
 
 def _pairs(text: Column) -> Column:
     """Hashes of neighbouring pieces; null behind the last."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0))
+    # a literal beyond 16 bits makes Java's look behind count characters, not halves of surrogate pairs
+    behind = rf"(?<=[\S{chr(0x10000)}]{{{RUN}}})"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?=(\S{{1,{PIECE}}}))(?:{behind}\S|\S{{1,{PIECE}}})"), F.lit(1))
     return F.transform(pieces, lambda x: F.xxhash64(x))
 
 

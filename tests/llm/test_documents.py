@@ -9,12 +9,13 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from docframe.llm import decontaminate as deco
 from docframe.llm import jaccard_join as jj
 from docframe.llm.components import components
 from docframe.llm.decontaminate import WuManber, decontaminate
-from docframe.llm.fingerprint import K, PIECE, SIZE, fingerprints
+from docframe.llm.fingerprint import K, PIECE, RUN, SIZE, fingerprints, likeness, with_sketch
 from docframe.llm.jaccard_join import Similarity, jaccard_classes
 from docframe.llm.language_id import grams, language_id, vectors
 from docframe.llm.toxicity import fit, toxicity
@@ -249,6 +250,17 @@ def test_fingerprint_edges(spark):
     assert not re.search("Python|Pandas|InArrow", plan)
 
 
+def test_fingerprints_of_long_runs(spark):
+    """One more character in front of a run without white space leaves most anchors as they are."""
+    r = random.Random(3)
+    for letters in ("天地玄黄宇宙洪荒日月盈昃辰宿列张", "abcdefghijklmnop0123456789+/", "😀😁😂🤣😃😄😅😆", "a\u3000b\u00a0c"):
+        run = "".join(r.choice(letters) for _ in range(1500))
+        rows = spark.createDataFrame([(run, letters[0] + run)], "a string, b string")
+        rows = with_sketch(with_sketch(rows, "a", "x"), "b", "y")
+        assert rows.select(likeness(F.col("x"), F.col("y"))).first()[0] > 0.8, letters
+    assert RUN % PIECE == 0
+
+
 # -- languages
 
 
