@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
-import gc
 import os
 import shutil
 import tempfile
-import time
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..errors import StorageError
+
 #: Stands for a null doc_id inside the operators; it sorts below every other id.
 NO_ID = -(2**63)
 
@@ -23,10 +22,14 @@ NO_ID = -(2**63)
 def scratch(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Where the setting is missing (tests on one machine) a temporary folder stands in for it.
+    Where the setting is missing, a temporary folder stands in for it if the master is local; on a cluster no folder of
+    one machine would do, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise StorageError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         base = getattr(scratch, "base", None)
         if base is None:
             base = scratch.base = tempfile.mkdtemp(prefix="docframe-")
@@ -34,26 +37,37 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/docframe-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Has Spark remove a statement's shuffle files when it is done.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of frames that are no longer referenced.
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    It works in the background, so on a cluster it is called twice and given a moment each time.
+    The shuffle files behind it go at once. Raises if fewer rows can be read than were written, as in a folder that
+    isn't shared.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    for _ in range(2 if shared else 1):
-        gc.collect()
-        with contextlib.suppress(AttributeError):
-            spark.sparkContext._jvm.System.gc()
-        if shared:
-            time.sleep(0.3)
+    spark = df.sparkSession
+    path, written = scratch(spark), Observation()
+    old = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        # a statement, not a writer: only for statements Spark removes the files
+        spark.sql(f"INSERT OVERWRITE DIRECTORY '{path}' USING parquet OPTIONS (compression 'zstd') SELECT * FROM {{df}}", df=df.observe(written, F.count(F.lit(1)).alias("n")))
+    finally:
+        spark.conf.set(_CLEAN, old)
+    out = spark.read.schema(df.schema).parquet(path)
+    if (found := out.count()) != written.get["n"]:
+        raise StorageError(f"{written.get['n']} rows were written to {path}, {found} can be read: is the folder shared?")
+    out._docframe_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() has written, once nothing reads them any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._docframe_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -3,7 +3,8 @@
 The windows of the benchmark items are the patterns, sequences of word hashes. For patterns of equal length a
 shift table by the hash of a two-word block tells how far a search place can jump: as far as the block's last
 position in any pattern allows. Where the jump is 0 the block ends some pattern: the bucket of patterns with
-that suffix is compared word by word. All documents of a chunk are searched together, one place per segment.
+that suffix is compared word by word, first by hashes, then by bytes. All documents of a chunk are searched
+together, one place per segment.
 
 Patterns are taken in blocks of bounded size, each against all documents, so the benchmark may be of any size.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import added, doc_id, keyed, materialise, ship
-from ._text import ALNUM, Chunk, U, chunks, mix, ranges, raw
+from ._text import ALNUM, Chunk, U, chunks, equal, mix, ranges, raw, view
 from .repeats import covered
 
 #: Patterns in a block, windows in a segment, entries of a shift table.
@@ -36,7 +37,7 @@ class WuManber:
         for at in range(m - b + 1):
             np.minimum.at(self.shift, self._hash(patterns[:, at : at + b]) & U(TABLE - 1), m - b - at)
         suffix = self._hash(patterns[:, m - b :])
-        order = np.argsort(suffix, kind="stable")
+        self.order = order = np.argsort(suffix, kind="stable")
         self.suffix, self.patterns, self.owners = suffix[order], patterns[order], [owners[i] for i in order]
 
     def _hash(self, block: np.ndarray) -> np.ndarray:
@@ -71,32 +72,57 @@ class WuManber:
         return place[order], pattern[order]
 
 
-def tables(items: list[tuple[str, bytes]], size: int) -> list[WuManber]:
-    """A searcher for each length of the items' windows of `size` words; a shorter item is one window."""
+class Windows:
+    """Windows of m words, known by their bytes: hashes to search for, owners, and where each word is in buffer."""
+
+    def __init__(self, m: int, found: dict[bytes, set[str]], hashes: dict[bytes, np.ndarray]):
+        texts = sorted(found)
+        self.search = WuManber(np.stack([hashes[t] for t in texts]), [sorted(found[t]) for t in texts])
+        self.m, self.buffer = m, b" ".join([*(texts[i] for i in self.search.order.tolist()), b"\0" * 8])
+        gap = np.flatnonzero(np.frombuffer(self.buffer, np.uint8) == 0x20)  # behind each word
+        self.end = gap.reshape(-1, m)
+        self.start = np.concatenate(([0], gap[:-1] + 1)).reshape(-1, m)
+
+    def occurrences(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """(place, window) in the chunk's documents. What the search finds is compared byte by byte."""
+        place, window = self.search.search(c.hash, c.lo, c.hi)
+        eight = view(self.buffer)
+        for j in range(self.m):
+            size = c.end[place + j] - c.start[place + j]
+            same = size == self.end[window, j] - self.start[window, j]
+            place, window, size = place[same], window[same], size[same]
+            same = equal(c.eight, c.start[place + j], eight, self.start[window, j], size)
+            place, window = place[same], window[same]
+        return place, window
+
+
+def tables(items: list[tuple[str, bytes]], size: int) -> list[Windows]:
+    """The items' windows of `size` words, by length; a shorter item is one window."""
     by_length: dict[int, dict[bytes, set[str]]] = {}
+    hashes: dict[bytes, np.ndarray] = {}
     for i, _, c in chunks([t for _, t in items], most=1 << 30):
         c.words(ALNUM, fold=True)
         for name, lo, hi in zip((n for n, _ in items[i:]), c.lo.tolist(), c.hi.tolist()):
             m = min(size, hi - lo)
-            for at in range(lo, hi - m + 1) if m else ():
-                by_length.setdefault(m, {}).setdefault(c.hash[at : at + m].tobytes(), set()).add(name)
-    return [
-        WuManber(np.frombuffer(b"".join(found), U).reshape(-1, m), [sorted(o) for o in found.values()])
-        for m, found in sorted(by_length.items())
-    ]
+            own = [c.word(w) for w in range(lo, hi)]
+            for at in range(hi - lo - m + 1) if m else ():
+                text = b" ".join(own[at : at + m])
+                by_length.setdefault(m, {}).setdefault(text, set()).add(name)
+                hashes[text] = c.hash[lo + at : lo + at + m]
+    return [Windows(m, found, hashes) for m, found in sorted(by_length.items())]
 
 
-def hits(c: Chunk, searchers: list[WuManber]) -> tuple[np.ndarray, dict[int, set[str]]]:
+def hits(c: Chunk, searchers: list[Windows]) -> tuple[np.ndarray, dict[int, set[str]]]:
     """(mask of the chunk's words inside an occurrence, items found by document)."""
     edge = np.zeros(len(c.hash) + 1, np.int64)
     found: dict[int, set[str]] = {}
     for s in searchers:
-        place, pattern = s.search(c.hash, c.lo, c.hi)
+        place, pattern = s.occurrences(c)
         np.add.at(edge, place, 1)
-        np.add.at(edge, place + s.size, -1)
+        np.add.at(edge, place + s.m, -1)
         doc = np.searchsorted(c.lo, place, "right") - 1
         for d, p in np.unique(np.stack((doc, pattern), 1), axis=0).tolist():
-            found.setdefault(d, set()).update(s.owners[p])
+            found.setdefault(d, set()).update(s.search.owners[p])
     return np.cumsum(edge)[:-1] > 0, found
 
 
@@ -132,9 +158,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     Takes doc_id and text, item_id and text. A-Z are lower-cased; words are runs of 0-9, a-z and everything
     beyond ASCII. An item with fewer words is one window, one without words or text none. Returns text and rest
     (see unkeyed()), doc_id, n_words, n_hit (words inside an occurrence), n_items, items_sha256 (of the found
-    item_ids, sorted as strings and joined by commas) and contaminated. Null text has no words; repeated rows
-    each have their own row; repeated items count once; a null item_id is named by the empty string; an empty
-    benchmark hits nothing.
+    item_ids, sorted as strings and joined by commas) and contaminated. Null and empty texts have no words; very
+    long ones are searched whole; repeated rows each have their own row; repeated items count once; a null item_id
+    is named by the empty string; other columns are kept in rest, whatever their names; an empty benchmark hits
+    nothing, and empty documents give an empty result.
     """
     spark = docs.sparkSession
     ship(spark)

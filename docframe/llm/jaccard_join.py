@@ -1,7 +1,7 @@
 """N-gram Jaccard join by universe partitioning and pigeonhole.
 
-A document is the set of the 54-bit hashes of its shingles. Equal sets are one class, known by a 64-bit
-signature. Bands of set sizes are chosen so that a partner lies in the same or a neighbouring band. For band j
+A document is the set of the 64-bit hashes of its shingles, with a seed drawn for each run. Equal sets are one class,
+known by 128 bits of signature. Bands of set sizes are chosen so that a partner lies in the same or a neighbouring band. For band j
 at most H_j elements differ between partners, so the universe of hashes is cut into H_j + 1 segments, and every
 class of band j, and of band j + 1 with band j's segments, gives the keys (band, segment, elements in it).
 
@@ -11,7 +11,7 @@ ones (many classes share them), so as many of the smallest as the sum allows get
 is missing is given back by v = 2 on the first segments, for which all classes index one-deletion neighbourhoods.
 Classes for which that isn't enough find each other by the prefixes of their sorted sets.
 
-Classes with a common key are candidates and are verified on their whole texts. In a first round each key's
+Classes with a common key are candidates and are verified on the words of their whole texts. In a first round each key's
 members are compared with its least one only, in a few more with other members, as long as they lie in different
 components. What then still does is compared in blocks. So groups of near copies never make all their pairs, and no
 link between components is lost.
@@ -19,7 +19,7 @@ link between components is lost.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -27,16 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import NO_ID, doc_id, keyed, materialise, release, ship
-from ._text import SPACED, Chunk, U, chunks, grams, mix, prefix, ranges, raw, span, trim
+from ._runtime import NO_ID, discard, doc_id, keyed, materialise, ship
+from ._text import _LOWER, SPACED, Chunk, U, chain, chunks, factors, grams, mix, new_seed, ranges, raw
 from .components import components
 
 #: Keys in a bucket, keys held by a task before it sends them, members compared with one centre at once, members
-#: in a block, rows in a task that compares blocks, bytes of text in a verifying group.
-BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES = 1 << 19, 1 << 20, 256, 512, 1 << 14, 4 << 20
+#: in a block, rows in a task that compares blocks, bytes of text in a verifying group, classes (24 bytes) broadcast.
+BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES, BROADCAST = 1 << 19, 1 << 20, 256, 512, 1 << 12, 4 << 20, 1 << 20
 #: Rounds with other centres before all members of different components are compared, and centres of a class in each.
 ROUNDS, CENTRES = 2, 4
-BITS = 54
 _C1, _C2, _C3 = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 
 
@@ -47,6 +46,7 @@ class Similarity:
     words: int = 5
     num: int = 80
     den: int = 100
+    seed: int = 1
 
     @cached_property
     def bands(self) -> np.ndarray:
@@ -65,27 +65,47 @@ class Similarity:
 
 
 class Sets:
-    """The sets of a chunk: element[first[i]:first[i + 1]] are the sorted hashes of document i."""
+    """The sets of a chunk: element[first[i]:first[i + 1]] are the sorted hashes of document i.
+
+    signature and check are two hashes of a set; together they are its identity.
+    """
 
     def __init__(self, chunk: Chunk, sim: Similarity):
-        chunk.words(SPACED, fold=True)
-        sums, k = prefix(chunk.hash), sim.words
-        n = chunk.hi - chunk.lo
-        at = ranges(chunk.lo, np.maximum(n - k + 1, 0))
-        doc = np.repeat(np.arange(len(n)), np.maximum(n - k + 1, 0))
-        short = np.flatnonzero((n > 0) & (n < k))
-        hashes = np.concatenate((grams(sums, k)[at], span(sums, chunk.lo[short], chunk.hi[short])))
-        tagged = (np.concatenate((doc, short)).astype(U) << U(BITS)) | (hashes >> U(64 - BITS))
-        tagged.sort()
-        if len(tagged):
-            tagged = tagged[np.concatenate(([True], tagged[1:] != tagged[:-1]))]
-        self.doc = (tagged >> U(BITS)).astype(np.int64)
-        self.element = tagged & U((1 << BITS) - 1)
-        self.first = np.searchsorted(self.doc, np.arange(len(n) + 1))
+        chunk.words(SPACED, fold=True, seed=sim.seed)
+        k, n = sim.words, chunk.hi - chunk.lo
+        many = np.maximum(n - k + 1, 0)
+        short = (n > 0) & (n < k)
+        whole = grams(chunk.hash, k, sim.seed)
+        hashes = np.empty(int(many.sum() + short.sum()), U)
+        end = np.cumsum(many + short)
+        first = end - many - short
+        hashes[ranges(first, many)] = whole[ranges(chunk.lo, many)]
+        hashes[first[short]] = chain(chunk.hash, chunk.lo[short], n[short], _C1)
+        new = np.ones(len(hashes), bool)
+        for a, z in zip(first[many > 1].tolist(), end[many > 1].tolist()):
+            part = hashes[a:z]
+            part.sort()
+            new[a + 1 : z] = part[1:] != part[:-1]
+        self.element = hashes[new]
+        self.first = np.concatenate(([0], np.cumsum(new)))[np.append(first, len(hashes))]
         self.size = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(n)), self.size)
         self.mixed = mix(self.element + _C1)
-        self.total = np.concatenate((np.zeros(1, U), np.cumsum(self.mixed)))
-        self.signature = mix(self.total[self.first[1:]] - self.total[self.first[:-1]] + self.size.astype(U) * _C2).view(np.int64)
+        self.signature, self.check = (
+            mix(self._sums(x) + self.size.astype(U) * _C2).view(np.int64) for x in (self.mixed, mix(self.element ^ factors(sim.seed)[-2]))
+        )
+
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        total = np.concatenate((np.zeros(1, U), np.cumsum(values)))
+        return total[self.first[1:]] - total[self.first[:-1]]
+
+    def classes(self, clash: np.ndarray) -> np.ndarray:
+        """The number of each set's class: its signature, or both hashes as one where different sets have that signature."""
+        hit = np.isin(self.signature, clash)
+        return np.where(hit, self.other(), self.signature) if hit.any() else self.signature
+
+    def other(self) -> np.ndarray:
+        return mix(self.signature.view(U) ^ mix(self.check.view(U) + _C3)).view(np.int64)
 
     def of(self, i: int) -> np.ndarray:
         return self.element[self.first[i] : self.first[i + 1]]
@@ -120,7 +140,7 @@ def keys(sets: Sets, use: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.n
 
         take = live[sets.doc]
         doc, element, mixed = sets.doc[take], sets.element[take], sets.mixed[take]
-        seg = (((element >> U(BITS - 32)) * segments[doc].astype(U)) >> U(32)).astype(np.int64)
+        seg = (((element >> U(32)) * segments[doc].astype(U)) >> U(32)).astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (seg[1:] != seg[:-1]))))
         count = np.diff(np.append(new, len(doc)))
         sums = np.concatenate((np.zeros(1, U), np.cumsum(mixed)))
@@ -164,12 +184,15 @@ def _sizes(sim: Similarity):
         for b in batches:
             for i, j, c in chunks(raw(b.column("text"))):
                 s = Sets(c, sim)
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(s.size, pa.int64()), pa.array(s.signature)], ["id", "th", "n", "sig"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), *(pa.array(x, pa.int64()) for x in (s.size, s.signature, s.check, s.other()))],
+                    ["id", "th", "n", "sig", "check", "other"],
+                )
 
     return run
 
 
-def _keyed(sim: Similarity, buckets: int):
+def _keyed(sim: Similarity, buckets: int, clash: np.ndarray):
     """Rows (bucket, sigs, counts, keys): counts[i] keys (48 bits each) of class sigs[i]. Classes seen in the task count once."""
 
     def packed(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
@@ -200,21 +223,19 @@ def _keyed(sim: Similarity, buckets: int):
         for b in batches:
             for _, _, c in chunks(raw(b.column("text"))):
                 s = Sets(c, sim)
-                use = np.zeros(len(s.size), bool)
-                for i, sig in enumerate(s.signature.tolist()):
+                use, own = np.zeros(len(s.size), bool), s.classes(clash)
+                for i, sig in enumerate(own.tolist()):
                     if sig not in seen:
                         seen.add(sig)
                         use[i] = True
                 d, k = keys(s, use, sim)
-                held.append((s.signature[d], k))
+                held.append((own[d], k))
                 n += len(k)
                 if n >= HELD:
                     yield packed(*map(np.concatenate, zip(*held)))
                     held, n = [], 0
         if n:
             yield packed(*map(np.concatenate, zip(*held)))
-        held.clear()
-        trim()
 
     return run
 
@@ -296,19 +317,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, parity: DataFrame, sim: Simila
         texts_ = raw(table.column("text").combine_chunks())
         a: list[int] = []
         b: list[int] = []
-        own = np.zeros(0, U)
+        own, shingles = np.zeros(0, U), set()
         for i, j, c in chunks([texts_[o] for o in order]):
             s = Sets(c, sim)
             for r in range(i, j):
                 o, e = order[r], s.of(r - i)
                 if sig[o] == centre[o]:
-                    own = e.copy()
+                    own, shingles, text = e.copy(), set(), texts_[o]
                 elif sim.linked(len(np.intersect1d(own, e, assume_unique=True)), len(own), len(e)):
-                    a.append(centre[o])
-                    b.append(sig[o])
+                    shingles = shingles or _shingles(text, sim.words)
+                    other = _shingles(texts_[o], sim.words)
+                    if sim.linked(len(shingles & other), len(shingles), len(other)):
+                        a.append(centre[o])
+                        b.append(sig[o])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return asked.join(texts, "sig").groupBy("place").applyInArrow(compare, "a long, b long")
+    out = materialise(asked.join(texts, "sig").groupBy("place").applyInArrow(compare, "a long, b long"))
+    discard(near)
+    return out
+
+
+def _shingles(text: bytes, k: int) -> set[bytes]:
+    """The set itself, as bytes."""
+    words = text.translate(_LOWER).split()
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
 
 
 def _spanning(groups: DataFrame, component: DataFrame) -> DataFrame:
@@ -406,23 +438,25 @@ def jaccard_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = keyed(docs)
-    info = materialise(docs.mapInArrow(_sizes(sim), "id long, th long, n long, sig long"))
+    docs, sim = keyed(docs), replace(sim, seed=new_seed())
+    info = materialise(docs.mapInArrow(_sizes(sim), "id long, th long, n long, sig long, check long, other long"))
+    # chance alone makes n * n / 2**65 such signatures for n classes: 17 for 25 billion
+    clash = [r["sig"] for r in info.groupBy("sig").agg(F.min("check").alias("a"), F.max("check").alias("z")).filter("a <> z").collect()]
+    if clash:
+        info = info.withColumn("sig", F.when(F.col("sig").isin(clash), F.col("other")).otherwise(F.col("sig")))
     classes = info.filter("n > 0").groupBy("sig").agg(F.min("n").alias("n"), F.min(F.struct("id", "th")).alias("r"))
     bulk = info.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-int(bulk) * 2 // (3 * BUCKET)))
-    sent = docs.select("text").mapInArrow(_keyed(sim, buckets), "bucket long, sigs binary, counts binary, keys binary")
+    sent = docs.select("text").mapInArrow(_keyed(sim, buckets, np.array(clash, np.int64)), "bucket long, sigs binary, counts binary, keys binary")
     met = materialise(sent.groupBy("bucket").applyInArrow(_stars, "kind byte, x long, y long, probe boolean").distinct())
-    del sent
-    release(spark)
 
     pairs = met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select("sig", F.col("r.id").alias("id"), F.col("r.th").alias("th"))
-    texts = materialise(docs.dropDuplicates(["id", "th"]).join(asked, ["id", "th"]).select("sig", "text"))
+    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select("sig", F.col("r.id").alias("id"), F.col("r.th").alias("th")))
+    few = F.broadcast(asked) if asked.count() <= BROADCAST else asked  # then no text is shuffled
+    texts = materialise(docs.join(few, ["id", "th"]).dropDuplicates(["sig"]).select("sig", "text"))
+    discard(asked)
     parity = materialise(texts.mapInArrow(_parities(sim), "sig long, n long, parity binary"))
-    del asked
-    release(spark)
-    links = materialise(_verified(pairs, texts, parity, sim))
+    links = _verified(pairs, texts, parity, sim)
     component = materialise(components(links))
     groups = met.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("sig"), "probe").distinct()
     done = pairs
@@ -433,11 +467,11 @@ def jaccard_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
         more = _other_centres(spanning, turn) if turn < ROUNDS else _across(spanning, parity, sim)
         more = materialise(more.join(done, ["a", "b"], "left_anti"))
         done = done.union(more)
-        links = links.union(materialise(_verified(more, texts, parity, sim)))
+        links = links.union(_verified(more, texts, parity, sim))
         component = materialise(components(links))
-        del spanning, more
-        release(spark)
     named = info.join(component.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.filter("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     named = named.join(least, "component", "left")
-    return named.select("id", "th", doc_id(), F.col("n").alias("n_shingles"), F.nullif(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")), F.lit(NO_ID)).alias("component_id"), "component")
+    out = materialise(named.select("id", "th", doc_id(), F.col("n").alias("n_shingles"), F.nullif(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")), F.lit(NO_ID)).alias("component_id"), "component"))
+    discard(texts, parity, met)
+    return out

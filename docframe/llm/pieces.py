@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ._text import Chunk, prefix, span
+from ._text import Chunk
 
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -61,7 +61,7 @@ class Pieces:
         c = Chunk([b" " + t if t else t for t in texts])
         if not self.cut:
             some = c.size > 0
-            c.start, c.end = c.at[some], (c.at + c.size)[some]
+            c.cut(c.at[some], (c.at + c.size)[some])
         else:
             space, line = c.data == 0x20, c.data == 0x0A
             new = np.zeros(len(c.data) + 1, bool)
@@ -73,9 +73,7 @@ class Pieces:
             real = np.ones(len(new), bool)
             real[between] = False
             keep = real[start[:-1]]
-            c.start, c.end = start[:-1][keep], start[1:][keep]
-        c.hash = span(prefix(c.bytes()), c.start, c.end)
-        c.lo, c.hi = np.searchsorted(c.start, c.at), np.searchsorted(c.start, c.at + c.size)
+            c.cut(start[:-1][keep], start[1:][keep])
         return c
 
 

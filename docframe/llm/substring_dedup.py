@@ -1,10 +1,10 @@
 """Substring dedup by relative Lempel-Ziv parsing over words.
 
 Contexts that share an anchor (see repeats.py) are a reference block, indexed by the hash of each window of
-50 words. Every context is factored greedily against what earlier documents have put into the block: at the
-first place whose window is in the index, the longest match with the indexed place becomes a factor and a
-duplicate span. A match that straddles a factor's end starts behind the last window inside the factor, so
-parsing goes on there, not at the factor's end: no window is lost at a boundary.
+50 words. Every context is factored greedily against what documents with smaller ids have put into the block: at
+the first place whose window is in the index, the longest match with the indexed place becomes a factor and a
+duplicate span; words are compared, not hashes. A match that straddles a factor's end starts behind the last
+window inside the factor, so parsing goes on there, not at the factor's end: no window is lost at a boundary.
 """
 
 from __future__ import annotations
@@ -14,42 +14,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import doc_id
-from .repeats import Shard, Windows, find, removed
+from ._text import grams, new_seed
+from .repeats import OWN, REST, Repeats, Shard, Windows, find, removed
 
 GRAM = 10
 
 
-def _match(units: np.ndarray, p: int, r: int, size: int, most: int) -> int:
-    """Equal units from p and r on, `most` at most; 0 if the first `size` aren't all equal."""
-    if not np.array_equal(units[p : p + size], units[r : r + size]):
-        return 0
-    differ = np.flatnonzero(units[p + size : p + most] != units[r + size : r + most])
-    return size + int(differ[0]) if len(differ) else most
+def _common(units: np.ndarray, p: np.ndarray, r: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Equal units from p and r on, `most` at most."""
+    size, go = np.zeros(len(p), np.int64), np.arange(len(p))
+    while len(go):
+        go = go[size[go] < most[go]]
+        go = go[units[p[go] + size[go]] == units[r[go] + size[go]]]
+        size[go] += 1
+    return size
 
 
-def factored(shard: Shard, w: Windows) -> np.ndarray:
-    """Mask along shard.start: the window lies in a factor that refers to a document with a smaller id."""
-    order = np.lexsort((np.arange(len(shard.key)), shard.key))  # contexts ascend by id, so do a key's places
-    key = shard.key[order]
-    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-    index = np.empty(len(key), np.int64)
-    index[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else order
-    earlier = shard.id[shard.of[index]] < shard.id[shard.of] if len(key) else np.zeros(0, bool)
-    hit = np.zeros(len(key), bool)
-    base = np.cumsum(shard.count) - shard.count
-    found = np.flatnonzero(earlier)
-    i = 0
-    while i < len(found):
-        at = int(found[i])
-        c, other = int(shard.of[at]), int(index[at])
-        r = int(shard.of[other])
-        left = int(base[c] + shard.count[c]) - at - 1
-        right = int(base[r] + shard.count[r]) - other - 1
-        size = _match(shard.units, int(shard.start[at]), int(shard.start[other]), w.size, w.size + min(left, right))
-        if size:
-            hit[at : at + size - w.size + 1] = True
-        i = int(np.searchsorted(found, at + max(1, size - w.size + 1)))
-    return hit
+def factored(s: Shard, w: Windows) -> Repeats:
+    """The factors that refer to a document with a smaller id. All contexts are parsed side by side.
+
+    A context is parsed once as its representative's and, if it occurs under greater ids too, once as theirs: then
+    the representative itself is in the block.
+    """
+    n = len(s.start)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    key = grams(s.chunk.hash, w.size, w.seed)[s.start]
+    order = np.lexsort((np.arange(n), key))  # contexts ascend by id, so do a key's places
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    index = np.empty(n, np.int64)
+    index[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    earlier = s.id[s.of[index]] < s.id[s.of]
+    # the next window that has a place in the block
+    following = np.append(np.where(earlier, np.arange(n), n), n)
+    following = np.minimum.accumulate(following[::-1])[::-1]
+    end = s.base + s.count
+    context = np.concatenate((np.flatnonzero(~s.guest), np.flatnonzero(s.more)))
+    kind = np.repeat([OWN, REST], (int((~s.guest).sum()), int(s.more.sum())))
+    at, out = s.base[context], []
+    while len(context):
+        at = np.where(kind == OWN, following[at], at)
+        live = at < end[context]
+        context, kind, at = context[live], kind[live], at[live]
+        other = index[at]
+        most = w.size - 1 + np.minimum(end[context] - at, end[s.of[other]] - other)
+        size = _common(s.units, s.start[at], s.start[other], most)
+        good = size >= w.size
+        a = at - s.base[context]
+        out.append(np.stack((context, a, a + size, kind))[:, good])
+        at = at + np.where(good, size - w.size, 0) + 1
+    context, a, z, kind = np.concatenate(out, axis=1)
+    return context, a, z, kind
 
 
 def substring_dedup(docs: DataFrame, words: int = 50, keep_text: bool = False) -> DataFrame:
@@ -57,10 +73,11 @@ def substring_dedup(docs: DataFrame, words: int = 50, keep_text: bool = False) -
 
     Takes doc_id and text (null: none); words are runs of anything but ASCII white space. Returns doc_id,
     n_words, n_removed, n_spans, kept_sha256 (kept words joined by a space) and, with keep_text, kept: those
-    words, null where nothing was removed. Rows with one doc_id never remove each other's words; a null
-    doc_id counts as smaller than all others; short texts lose nothing; an empty table gives an empty result.
+    words, null where nothing was removed. Rows with one doc_id never remove each other's words, equal ones have
+    equal results; a null doc_id counts as smaller than all others; empty and short texts lose nothing, very long ones
+    are taken whole; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    w = Windows(True, words, min(GRAM, words))
+    w = Windows(True, words, min(GRAM, words), new_seed())
     out = removed(find(docs, w, factored, earlier=True), w, keep_text)
     more = ["th", "kept"] if keep_text else []
     return out.select(doc_id(), F.col("n").alias("n_words"), "n_removed", "n_spans", F.col("sha").alias("kept_sha256"), *more)

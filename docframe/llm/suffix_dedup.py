@@ -3,8 +3,8 @@
 Contexts that share an anchor (see repeats.py) form a shard. A shard's suffix array is built by
 Larsson-Sadakane refinement: a first order by eight bytes, then groups of equal rank only are refined by the
 rank h bytes on, h doubling until the order reaches past the string length. Kasai's pass over it, in lockstep
-over all contexts, gives common prefixes; a place is repeated where one reaches the length. Shards that share
-an anchor are merged by binary search of their common strings.
+over all contexts, gives common prefixes; a place is repeated where one reaches the length, or if it stands for
+several occurrences of its context. Shards that share an anchor are merged by binary search of each other's strings.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import doc_id
-from .repeats import Shard, Windows, find, removed
+from ._text import new_seed
+from .repeats import OWN, Repeats, Shard, Windows, find, removed, runs
 
 GRAM = 32
 
@@ -90,19 +91,50 @@ def common_prefixes(shard: Shard, sa: np.ndarray, rank: np.ndarray, key: np.ndar
     return lcp[sa]
 
 
-def repeated(shard: Shard, w: Windows) -> np.ndarray:
-    """Mask along shard.start: the window occurs at another place of the shard too."""
-    if not len(shard.start):
-        return np.zeros(0, bool)
-    order, rank, key = suffix_array(shard.units, w.size)
-    starts = np.zeros(len(shard.units), bool)
-    starts[shard.start] = True
+def _found(s: Shard, sa: np.ndarray, guests: np.ndarray, size: int) -> np.ndarray:
+    """Places of sa (suffixes sorted by size bytes) that begin with the size bytes from one of guests on, the first
+    of each: all binary searches go side by side, eight bytes at a time."""
+    blocks = np.ndarray(s.chunk.eight.shape, ">u8", s.chunk.buffer, strides=(1,))
+    steps = (*range(0, size - 8, 8), size - 8) if size >= 8 else ()
+
+    def order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0, 1: how the bytes from a on compare with those from b on."""
+        out, go = np.zeros(len(a), np.int8), np.arange(len(a))
+        for j in steps or range(size):
+            x, y = (blocks[a[go] + j], blocks[b[go] + j]) if steps else (s.units[a[go] + j], s.units[b[go] + j])
+            out[go] = (x > y).astype(np.int8) - (x < y)
+            go = go[x == y]
+        return out
+
+    low, high = np.zeros(len(guests), np.int64), np.full(len(guests), len(sa), np.int64)
+    while (go := np.flatnonzero(low < high)).size:
+        middle = (low[go] + high[go]) // 2
+        less = order(sa[middle], guests[go]) < 0
+        low[go], high[go] = np.where(less, middle + 1, low[go]), np.where(less, high[go], middle)
+    inside = np.flatnonzero(low < len(sa))
+    return np.unique(low[inside[order(sa[low[inside]], guests[inside]) == 0]])
+
+
+def repeated(s: Shard, w: Windows) -> Repeats:
+    """Strings of the shard's suffix array that have an equal neighbour or stand for several occurrences of their
+    context, and those that a binary search for other shards' strings finds."""
+    none = np.zeros(0, np.int64)
+    if not len(s.start):
+        return none, none, none, none
+    order, rank, key = suffix_array(s.units, w.size)
+    starts = np.zeros(len(s.units), bool)
+    starts[s.start[~s.guest[s.of]]] = True
     sa = order[starts[order]]
-    lcp = common_prefixes(shard, sa, rank, key, w.size) >= w.size
-    hit = np.zeros(len(shard.units), bool)
+    lcp = common_prefixes(s, sa, rank, key, w.size) >= w.size
+    hit = np.zeros(len(s.units), bool)
     hit[sa[lcp]] = True
     hit[sa[np.flatnonzero(lcp) - 1]] = True
-    return hit[shard.start]
+    if s.guest.any():
+        same = np.cumsum(~lcp)  # a number for each group of equal strings
+        at = _found(s, sa, s.start[s.guest[s.of]], w.size)
+        hit[sa[np.isin(same, same[at])]] = True
+    c, a, z = runs(s, (hit[s.start] | s.more[s.of]) & ~s.guest[s.of], w)
+    return c, a, z, np.full(len(c), OWN)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200, keep_text: bool = False) -> DataFrame:
@@ -111,9 +143,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep_text: bool = False) ->
     Takes doc_id and text (UTF-8 bytes; null: empty), returns doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs), kept_sha256, and kept (text left; bytes of cut characters as U+FFFD; null where nothing
     was removed) with keep_text. Strings never cross documents. Repeated rows count as documents of their own;
-    a null doc_id stays null; texts shorter than `length` lose nothing; an empty table gives an empty result.
+    a null doc_id stays null; empty texts and those shorter than `length` lose nothing, very long ones are taken
+    whole; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    w = Windows(False, length, min(GRAM, length))
+    w = Windows(False, length, min(GRAM, length), new_seed())
     out = removed(find(docs, w, repeated, earlier=False), w, keep_text)
     more = ["kept"] if keep_text else []
     return out.select(doc_id(), F.col("n").alias("n_bytes"), "n_removed", "n_spans", F.col("sha").alias("kept_sha256"), *more)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._runtime import doc_id, keyed, materialise, release, scratch, ship
+from ._runtime import doc_id, keyed, discard, materialise, scratch, ship
 from ._text import SPACED, Chunk, chunks, raw
 from .huffman import Code, code_lengths
 from .word_table import WordTable
@@ -179,7 +179,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str) -> TokenF
     ids = docs.mapInArrow(_tokenize(spark.sparkContext.broadcast(description), width, end), "id long, th long, ids binary")
     ids = ids.withColumn("bucket", bucket_of(F.col("id"), bounds)).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "id", "th")
     ids = materialise(ids)
-    release(spark)
 
     def count(batches):
         total = np.zeros(0, np.int64)
@@ -223,6 +222,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str) -> TokenF
 
     schema = "bucket int, uid long, ids array<long>, ths array<long>, counts array<long>, n long, offsets array<long>, bits binary"
     ids.select("bucket", "id", "th", "ids").mapInArrow(encode, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(ids)
     return TokenFiles(path)
 
 
@@ -278,7 +278,6 @@ def token_output(docs: DataFrame, tokenizer: str, end: int = 2, path: str | None
     """
     spark = docs.sparkSession
     files = write_tokens(docs, tokenizer, end, path or scratch(spark))
-    release(spark)
     crc = lambda ids: [zlib.crc32(ids.astype("<u4").tobytes())]
     rows = read_tokens(spark, files, crc, "crc long", [pa.int64()])
     return rows.join(starts(spark, files), "uid").select(doc_id(), (F.col("start") + F.col("place")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
