@@ -3,12 +3,13 @@
 import math
 
 import pytest
+from pyspark.sql import types as T
 
 from docframe import CrdtHint, FieldType, Filter, Query, Schema, Sort, SyncAuthority
 from docframe.errors import QueryError, SchemaError
 from docframe.plans.access import IndexInfo, IndexKind, access_path, pushed_filters
 from docframe.plans.filters import DYNAMIC
-from docframe.plans.schema import evolution, is_valid_evolution
+from docframe.plans.schema import SchemaBuilder, evolution, is_valid_evolution
 
 USERS = [(1, "Alice", 30, True, 95.5, b"\x01\x02"), (2, "Bob", 25, False, math.nan, b""), (3, "Charlie", 35, True, -0.0, None), (4, "Diana", 28, True, None, b"\xff\x00"), (5, None, 22, False, 0.0, b"\x02")]
 
@@ -128,47 +129,54 @@ def test_access_paths():
 
 
 def base():
-    return Schema.builder("User").required_field("email", FieldType.String).field("name", FieldType.String).field("age", FieldType.Int)
+    return Schema.builder("Parcel").required_field("label", FieldType.String).field("note", FieldType.String).field("grams", FieldType.Int)
 
 
 def test_schema_builder():
-    s = base().version(3).sync_authority(SyncAuthority.RemoteFirst).field("tags", FieldType.Collection).build()
-    assert s.field("tags").hint is CrdtHint.OrSet and s.field("age").hint is CrdtHint.Lww
+    s = base().version(3).sync_authority(SyncAuthority.RemoteFirst).field("stops", FieldType.Collection).build()
+    assert s.field("stops").hint is CrdtHint.OrSet and s.field("grams").hint is CrdtHint.Lww
     assert (s.field_count, s.version_label, str(s.authority)) == (4, "v3", "RemoteFirst")
     assert Schema.from_json(s.to_json()) == s
     spark = s.to_spark()
-    assert not spark["email"].nullable and spark["tags"].metadata["hint"] == "orset"
+    assert not spark["label"].nullable and spark["stops"].metadata["hint"] == "orset"
     assert all(FieldType[t].spark is not None for t in ("Reference", "Bytes", "Bool", "Float"))
+    again = SchemaBuilder.of("Parcel", T.StructType(spark.fields[1:])).version(3).sync_authority(SyncAuthority.RemoteFirst).build()
+    assert again == s
+    with pytest.raises(SchemaError):
+        SchemaBuilder.of("x", T.StructType([T.StructField("at", T.DateType())]))
 
 
 @pytest.mark.parametrize(
-    "make,said",
+    "make",
     [
-        (lambda: Schema.builder("").field("a", FieldType.Int), "name must not be empty"),
-        (lambda: Schema.builder("a"), "at least one field"),
-        (lambda: Schema.builder("a").field("", FieldType.Int), "field name"),
-        (lambda: Schema.builder("a").field("x", FieldType.Int).field("x", FieldType.Bool), "duplicate"),
-        (lambda: Schema.builder("a").field("x", FieldType.String, CrdtHint.Counter), "not compatible"),
-        (lambda: Schema.builder("a").field("x", FieldType.Collection, CrdtHint.Lww), "not compatible"),
-        (lambda: Schema.builder("a").field("x", FieldType.Int, CrdtHint.OrSet), "not compatible"),
+        lambda: Schema.builder("").field("a", FieldType.Int),
+        lambda: Schema.builder("a"),
+        lambda: Schema.builder("a").field("", FieldType.Int),
+        lambda: Schema.builder("a").field("x", FieldType.Int).field("x", FieldType.Bool),
+        lambda: Schema.builder("a").field("x", FieldType.String, CrdtHint.Counter),
+        lambda: Schema.builder("a").field("x", FieldType.Collection, CrdtHint.Lww),
+        lambda: Schema.builder("a").field("x", FieldType.Int, CrdtHint.OrSet),
     ],
 )
-def test_schemas_that_cannot_be_built(make, said):
-    with pytest.raises(SchemaError, match=said):
+def test_schemas_that_cannot_be_built(make):
+    with pytest.raises(SchemaError):
         make().build()
 
 
 def test_evolution():
     old = base().build()
     assert evolution(old, base().build()).kind == "Identical"
-    more = base().required_field("nick", FieldType.String).build()
-    assert evolution(old, more).new_fields == ("nick",) and evolution(old, more).kind == "Additive"
-    loose = Schema.builder("User").field("email", FieldType.String).field("name", FieldType.String).field("age", FieldType.Int).build()
-    assert evolution(old, loose).kind == "Identical" and str(evolution(loose, old).breaking[0]) == "field `email` changed from optional to required"
-    other = Schema.builder("User").sync_authority(SyncAuthority.RemoteAuthority).field("email", FieldType.Bytes).field("age", FieldType.Int, CrdtHint.Counter).build()
+    more = base().required_field("route", FieldType.String).build()
+    assert evolution(old, more).new_fields == ("route",) and evolution(old, more).kind == "Additive"
+    loose = Schema.builder("Parcel").field("label", FieldType.String).field("note", FieldType.String).field("grams", FieldType.Int).build()
+    assert evolution(old, loose).kind == "Identical"
+    assert [(c.kind, c.field) for c in evolution(loose, old).breaking] == [("required", "label")]
+    other = Schema.builder("Parcel").sync_authority(SyncAuthority.RemoteAuthority).field("label", FieldType.Bytes).field("grams", FieldType.Int, CrdtHint.Counter).build()
     changes = evolution(old, other).breaking
-    assert [c.kind for c in changes] == ["type", "removed", "hint", "authority"]
-    assert str(changes[3]) == "sync authority changed from LocalFirst to RemoteAuthority"
+    assert [(c.kind, c.field, c.old, c.new) for c in changes] == [
+        ("type", "label", "String", "Bytes"), ("removed", "note", None, None), ("hint", "grams", "Lww", "Counter"), ("authority", None, "LocalFirst", "RemoteAuthority"),
+    ]
+    assert "label" in str(changes[0]) and "RemoteAuthority" in str(changes[3])
     assert is_valid_evolution(old, more) and not is_valid_evolution(old, other)
     bumped = Schema(other.name, other.fields, 2, other.authority)
     assert is_valid_evolution(old, bumped)
