@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.schema import SyncAuthority
+from ..protocols import Mergeable
 
 CLOCK = ("physical", "logical", "device")
 
@@ -118,3 +119,10 @@ def resolve_orset(local: DataFrame, remote: DataFrame, keys: Sequence[str], auth
     if _overrides(authority, is_remote):
         return _replaced(local, remote.select(*local.columns), keys)
     return orset_merge(local, remote.select(*local.columns))
+
+
+def resolve(rule: Mergeable, local: DataFrame, remote: DataFrame, keys: Sequence[str], authority: SyncAuthority, is_remote: bool = True) -> DataFrame:
+    """Values of a kind of one's own after a sync, by its merge()."""
+    if _overrides(authority, is_remote):
+        return _replaced(local, remote.select(*local.columns), keys)
+    return rule.merge(local, remote, list(keys))

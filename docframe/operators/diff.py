@@ -41,6 +41,11 @@ def query_diff(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame
     return out.select("_change", key, *(F.col("_doc").getField(c).alias(c) for c in rest))
 
 
+def is_empty(diff: DataFrame) -> bool:
+    """Nothing has changed."""
+    return diff.isEmpty()
+
+
 def ordered(diff: DataFrame, key: str = "doc_id") -> DataFrame:
     """By kind of change and then by id."""
     return diff.orderBy("_change", key)

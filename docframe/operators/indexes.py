@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +41,13 @@ def remove_entries(index: DataFrame, gone: DataFrame) -> DataFrame:
     return index.join(gone.select("key", "doc_id").distinct(), ["key", "doc_id"], "left_anti")
 
 
+def removed(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """The entries of gone, and whether each was there to be removed."""
+    gone = gone.select("key", "doc_id").distinct()
+    there = index.select("key", "doc_id", F.lit(True).alias("was_there")).distinct()
+    return gone.join(there, ["key", "doc_id"], "left").withColumn("was_there", F.coalesce("was_there", F.lit(False)))
+
+
 def write_sorted(df: DataFrame, path: str, field: str, files: int | None = None) -> None:
     """Files that each hold a range of the field, sorted: range and point filters skip files and row groups."""
     ranged = df.repartitionByRange(files, field) if files else df.repartitionByRange(field)
@@ -54,15 +60,33 @@ def write_hashed(df: DataFrame, path: str, field: str, distinct: int) -> None:
     writer.option(f"parquet.bloom.filter.expected.ndv#{field}", str(distinct)).parquet(path)
 
 
-@dataclass(frozen=True)
 class Bloom:
     """A set of values that may be asked for without reading them; false answers are always right."""
 
-    filter: Any
+    def __init__(self, spark: SparkSession, filter_: Any):
+        self.spark, self.filter = spark, filter_
 
     @classmethod
     def of(cls, df: DataFrame, field: str, expected: int, rate: float = 0.01) -> Bloom:
-        return cls(df._jdf.stat().bloomFilter(field, expected, rate))
+        """Built by the executors, a part of the rows each."""
+        return cls(df.sparkSession, df._jdf.stat().bloomFilter(field, expected, rate))
+
+    @classmethod
+    def decode(cls, spark: SparkSession, data: bytes) -> Bloom:
+        return cls(spark, spark._jvm.org.apache.spark.util.sketch.BloomFilter.readFrom(spark._jvm.java.io.ByteArrayInputStream(data)))
+
+    def encode(self) -> bytes:
+        out = self.spark._jvm.java.io.ByteArrayOutputStream()
+        self.filter.writeTo(out)
+        return bytes(out.toByteArray())
+
+    def insert(self, value: Any) -> bool:
+        """Whether the filter has changed, so the value is a new one for sure."""
+        return bool(self.filter.put(value))
+
+    def merge(self, other: Bloom) -> None:
+        """Take in the values of another filter of the same size."""
+        self.filter.mergeInPlace(other.filter)
 
     def may_contain(self, value: Any) -> bool:
         return bool(self.filter.mightContain(value))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryError
+from ..operators.ranks import numbered
 from .filters import Filter
 
 
@@ -75,6 +76,15 @@ class Query:
             df = df.offset(self.skip)
         return df if self.most is None else df.limit(self.most)
 
+    def ranked(self, df: DataFrame, key: str = "doc_id", name: str = "place") -> DataFrame:
+        """The same result with each document's place in it, from 1 on. For whole results that are to be written in order:
+        nothing is brought together in one task."""
+        if self.order is None:
+            raise QueryError("a rank needs a sort")
+        rows = df if self.where is None else df.filter(self.where.compile(df.schema))
+        rows = numbered(rows, *self.order.columns(df.schema, key), name=name).withColumn(name, F.col(name) - F.lit(self.skip))
+        return rows.filter(F.col(name) > 0) if self.most is None else rows.filter(F.col(name).between(1, self.most))
+
     def run(self, collections: Mapping[str, DataFrame], key: str = "doc_id") -> DataFrame:
         if self.source not in collections:
             raise QueryError(f"no collection {self.source!r}")

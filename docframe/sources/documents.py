@@ -1,13 +1,15 @@
 """Versioned documents on Parquet, and optimistic transactions over them.
 
 Every put has a version, numbered over the whole table. A commit appends the rows it has staged as one table; the
-current documents are the latest rows of each id that aren't deletions.
+current documents are the latest rows of each id that aren't deletions. compact() makes one table of them; the files
+of the old ones stay for snapshots that still read them, until vacuum().
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Mapping
+from time import time
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +35,7 @@ class VersionedStore:
 
     def _state(self) -> tuple[int, dict[str, Any]]:
         last = self.commits.last()
-        return (last.number, last.state) if last else (0, {"version": 0, "tables": []})
+        return (last.number, last.state) if last else (0, {"version": 0, "tables": [], "gone": []})
 
     def rows(self, tables: list[str] | None = None) -> DataFrame:
         """All versions of all documents."""
@@ -62,10 +64,17 @@ class VersionedStore:
     def count(self) -> int:
         return self.documents().count()
 
+    def conflicts(self, read_set: DataFrame, tables: list[str] | None = None) -> DataFrame:
+        """Rows of read_set (doc_id, read_version) whose document has another version now."""
+        return conflicts(read_set, self.documents(tables))
+
     def insert(self, documents: DataFrame) -> None:
-        """Put many documents as one commit; each gets a version of its own, by ascending doc_id."""
+        """Put many documents as one commit; each gets a version of its own, by ascending doc_id. Of rows with one doc_id
+        the greatest counts, its columns compared one after the other."""
         number, state = self._state()
-        rows = documents.select(*self.schema.names).dropDuplicates(["doc_id"])
+        rest = [n for n in self.schema.names if n != "doc_id"]
+        rows = documents.select(*self.schema.names)
+        rows = latest(rows, ["doc_id"], rest) if rest else rows.distinct()
         # versions number the rows partition by partition, without bringing them together
         rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("_n", F.monotonically_increasing_id())
         path = f"data/{uuid.uuid4().hex}-raw"
@@ -83,12 +92,39 @@ class VersionedStore:
         self._append(number, state, out, total)
         self.files.delete(path)
 
+    def remove(self, ids: DataFrame) -> None:
+        """Delete many documents (a column doc_id) as one commit."""
+        number, state = self._state()
+        rows = ids.select(*(F.col(n) if n == "doc_id" else F.lit(None).cast(self.schema[n].dataType).alias(n) for n in self.schema.names))
+        self._append(number, state, rows.withColumn(VERSION, F.lit(0).cast("long")).withColumn("_deleted", F.lit(True)), 0)
+
+    def compact(self) -> int:
+        """Make one table of the current documents; returns how many there were. Fails if somebody commits meanwhile."""
+        number, state = self._state()
+        if len(state["tables"]) < 2:
+            return len(state["tables"])
+        now = latest(self.rows(state["tables"]), ["doc_id"], ["_commit", VERSION]).filter("not _deleted")
+        path = f"data/{uuid.uuid4().hex}"
+        now.select(*self.stored.names).write.parquet(self.files.at(path))
+        self.commits.make(number, {"version": state["version"], "tables": [path], "gone": [*state["gone"], *([t, time()] for t in state["tables"])]})
+        return len(state["tables"])
+
+    def vacuum(self, older_than: float = 3600.0) -> int:
+        """Delete the files of tables that no commit has named for so many seconds."""
+        number, state = self._state()
+        old = [g for g in state["gone"] if g[1] <= time() - older_than]
+        if old:
+            self.commits.make(number, state | {"gone": [g for g in state["gone"] if g not in old]})
+        for path, _ in old:
+            self.files.delete(path)
+        return len(old)
+
     def _append(self, number: int, state: dict[str, Any], rows: DataFrame, puts: int) -> None:
         if "_deleted" not in rows.columns:
             rows = rows.withColumn("_deleted", F.lit(False))
         path = f"data/{uuid.uuid4().hex}"
         rows.withColumn("_commit", F.lit(number + 1).cast("long")).select(*self.stored.names).write.parquet(self.files.at(path))
-        self.commits.make(number, {"version": state["version"] + puts, "tables": [*state["tables"], path]})
+        self.commits.make(number, state | {"version": state["version"] + puts, "tables": [*state["tables"], path]})
 
     def begin(self) -> Transaction:
         return Transaction(self)
@@ -142,10 +178,10 @@ class Transaction:
         while True:
             number, state = self.store._state()
             if self._read:
-                now = self.store.versions_of(self._read, state["tables"])
-                for doc_id, version in sorted(self._read.items()):
-                    if now[doc_id] != version:
-                        raise Conflict(doc_id, version, now[doc_id])
+                read = self.store.spark.createDataFrame(sorted(self._read.items()), "doc_id long, read_version long")
+                first = self.store.conflicts(read, state["tables"]).orderBy("doc_id").first()
+                if first:
+                    raise Conflict(*first)
             if not self._puts and not self._deletes:
                 return
             names = self.store.schema.names

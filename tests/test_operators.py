@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docframe import SyncAuthority
 from docframe.functions.clocks import Hlc, bool_key, bytes_key, checksum, device_key, float_key, hlc, in_scope, int_key, scoped_key
 from docframe.operators import crdt, diff, indexes, merge
+from docframe.operators.ranks import numbered
 from docframe.plans.filters import DYNAMIC
 
 
@@ -142,3 +143,25 @@ def test_clock(spark):
     assert Hlc(5, 3).advance(9) == Hlc(9, 0) and Hlc(5, 3).advance(5) == Hlc(5, 4) and Hlc(5, 65535).advance(1) == Hlc(6, 0)
     df = spark.createDataFrame([(1, 9), (2, 0), (1, 10)], "p long, l int")
     assert [tuple(r) for r in df.orderBy(hlc(F.col("p"), F.col("l"))).collect()] == [(1, 9), (1, 10), (2, 0)]
+
+
+def test_bloom_filters(spark):
+    b = indexes.Bloom.of(spark.range(1000), "id", 2000, 1e-4)
+    assert all(b.may_contain(k) for k in (0, 500, 999)) and not b.may_contain(5000)
+    assert b.insert(5000) and not b.insert(5000)
+    more = indexes.Bloom.of(spark.range(3000, 3010), "id", 2000, 1e-4)
+    b.merge(more)
+    again = indexes.Bloom.decode(spark, b.encode())
+    assert again.may_contain(5000) and again.may_contain(3005) and not again.may_contain(4000)
+
+
+def test_removed_entries(spark):
+    index, gone = (spark.createDataFrame(r, "key string, doc_id long") for r in ([("a", 1), ("a", 2)], [("a", 1), ("a", 1), ("b", 1)]))
+    assert sorted(map(tuple, indexes.removed(index, gone).collect())) == [("a", 1, True), ("b", 1, False)]
+
+
+def test_numbered(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else None, i) for i in range(200)], "k int, i int").repartition(5)
+    got = [(r["k"], r["i"]) for r in sorted(numbered(rows, F.col("k").desc_nulls_first(), F.col("i")).collect(), key=lambda r: r["place"])]
+    assert got == sorted(((i % 7 if i % 3 else None, i) for i in range(200)), key=lambda r: (r[0] is not None, -(r[0] or 0), r[1]))
+    assert numbered(rows.limit(0), F.col("i")).count() == 0

@@ -5,8 +5,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docframe import Filter, Query, Sort
-from docframe.errors import AlreadyFinalised, ClosedError, CommitConflict, Conflict, LogError, ManifestError
+from docframe.errors import AlreadyFinalised, ClosedError, CommitConflict, Conflict, LogError, ManifestError, StorageError
+from docframe.operators import crdt
+from docframe.plans.schema import SyncAuthority
+from docframe.protocols import DocumentSource, Mergeable, Runner
 from docframe.sources.documents import VersionedStore, applied, conflicts
+from docframe.sources.files import Commits, Files, scratch
 from docframe.sources.store import Collection, Config, Store
 from docframe.streaming.incremental import filtered_changes
 from docframe.streaming.live import CHANGES, ChangeLog, Event, LiveQuery, collection_watch, prefix_watch
@@ -20,8 +24,13 @@ def test_put_get_delete_reopen(spark, tmp_path):
     s.put(b"b", b"")
     s.delete("never")
     assert s.get("a") == b"1" and s.get("b") == b"" and s.sequence == 3
+    reader = Store.open(spark, path, write=False)
+    assert reader.get("a") == b"1" and [(r["place"], bytes(r["key"])) for r in reader.log_entries().collect()] == [(1, b"a"), (2, b"b"), (3, b"never")]
+    with pytest.raises(StorageError):
+        reader.put("a", "x")
+    s.put("a", "1")  # a reader takes nothing over
     again = Store.open(spark, path)  # the log brings back what wasn't flushed
-    assert again.get("a") == b"1" and again.sequence == 3
+    assert again.get("a") == b"1" and again.sequence == 4 and (len(again.pending), again.pending.is_empty, again.pending.should_flush(5)) == (3, False, True)
     again.flush()
     again.flush()
     assert len(again.tables()) == 1 and again.files.names("_wal") == []
@@ -63,21 +72,89 @@ def test_store_errors(spark, tmp_path):
     path = str(tmp_path / "db")
     a = Store.open(spark, path)
     a.put("k", "v")
-    name = a.files.names("_wal")[0]
-    text = a.files.read(f"_wal/{name}")
-    a.files.delete(f"_wal/{name}")
-    a.files.create(f"_wal/{name}", text.replace("6b", "6c"))
+    (name,) = a.files.names("_wal")
+    log = tmp_path / "db" / "_wal" / name
+    text = log.read_text()
+    log.write_text(text.replace("6b", "6c"))
     with pytest.raises(LogError):
-        Store.open(spark, path)
-    a.files.delete(f"_wal/{name}")
+        Store.open(spark, path, write=False)
+    log.write_text(text + text[:20])  # a torn line at the end was never acknowledged
     b = Store.open(spark, path)
+    assert b.get("k") == b"v"
     b.put("k", "b")
     b.flush()
+    with pytest.raises(StorageError):
+        a.put("more", "x")
     with pytest.raises(CommitConflict):
         a.flush()
+    with pytest.raises(ManifestError):
+        b.remove_table(99)
     b.files.delete(b.tables()[0].path)
     with pytest.raises(ManifestError):
         b.get("k")
+    b.remove_table(b.tables()[0].id)
+    assert b.get("k") is None
+
+
+def test_two_writers(spark, tmp_path):
+    """Nothing that was acknowledged is lost, whoever flushes what."""
+    path = str(tmp_path / "db")
+    a = Store.open(spark, path)
+    a.put("k1", "a")
+    b = Store.open(spark, path)
+    b.put("k2", "b")
+    assert b.get("k1") == b"a"
+    with pytest.raises(StorageError):  # what it was told to write may or may not count
+        a.put("k3", "a")
+    c = Store.open(spark, path)
+    c.put("k4", "c")
+    c.flush()
+    with pytest.raises(CommitConflict):
+        b.flush()
+    last = Store.open(spark, path)
+    assert [last.get(k) for k in ("k1", "k2", "k4")] == [b"a", b"b", b"c"] and last.pending.is_empty
+
+
+def test_flush_that_dies_before_it_clears_the_log(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "db")
+    a = Store.open(spark, path)
+    a.put("k", "old")
+    with monkeypatch.context() as m:
+        m.setattr(a.files, "delete", lambda name: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            a.flush()
+    b = Store.open(spark, path)
+    assert b.pending.is_empty and b.get("k") == b"old" and b.files.names("_wal") == []
+
+
+def test_commits(spark, tmp_path):
+    files = Files(spark, str(tmp_path / "c"))
+    chain = Commits(files)
+    chain.KEEP = 5
+    assert chain.last() is None
+    for i in range(12):
+        chain.make(i, {"n": i})
+    assert chain.last().state == {"n": 11} and len(files.names("_commits")) == 5
+    for late in (11, 3, 0):  # made by another one, lately or so long ago that it was cleared
+        with pytest.raises(CommitConflict):
+            chain.make(late, {})
+    assert chain.last().number == 12 and all(n.endswith(".json") for n in files.names("_commits"))
+    files.create("x", "whole")  # a part that a crash has left behind blocks nothing
+    files.delete("x")
+    assert files.create("x", "again") and not files.create("x", "twice") and files.read("x") == "again"
+
+
+def test_compaction_under_a_reader(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "db"), Config(level_threshold=2))
+    for v in ("1", "2"):
+        s.write(spark.createDataFrame([("a", v), ("b", v)], "key string, value string"))
+    reader = s.view()
+    assert s.run_if_idle().tables_merged == 2
+    assert sorted(bytes(r["value"]) for r in reader.collect()) == [b"2", b"2"]
+    assert s.vacuum() == 0 and s.vacuum(older_than=0) == 2 and s.view().count() == 2
+    s.put("c", "3")
+    s.write(spark.createDataFrame([("d", "1"), ("d", "2")], "key string, value string"))
+    assert s.get("d") == b"2" and s.compact().levels_compacted == 1
 
 
 def test_collections_and_watches(spark, tmp_path):
@@ -128,6 +205,69 @@ def test_transactions(versioned):
         t.commit()
 
 
+def test_versioned_compaction(spark, versioned):
+    versioned.insert(spark.createDataFrame([(2, "B"), (2, "A"), (5, "E")], SCHEMA))
+    versioned.remove(spark.createDataFrame([(1,)], "doc_id long"))
+    assert sorted(tuple(r) for r in versioned.documents().collect()) == [(2, "B", 4), (3, "Charlie", 3), (5, "E", 5)]
+    t = versioned.begin()
+    assert versioned.compact() == 3 and versioned.compact() == 1
+    assert t.read(1) is None and t.read(2)["name"] == "B"
+    t.commit()
+    assert sorted(tuple(r) for r in versioned.documents().collect()) == [(2, "B", 4), (3, "Charlie", 3), (5, "E", 5)]
+    assert versioned.vacuum() == 0 and versioned.vacuum(0) == 3 and versioned.count() == 3
+    versioned.insert(spark.createDataFrame([(7, "G")], SCHEMA))
+    assert versioned.get(7)[1] == 6
+
+
+def test_numbers_of_events(spark, tmp_path):
+    """Two publishers of one log share no number; a log that is far behind lags."""
+    a, b = (ChangeLog(spark, str(tmp_path / "log"), capacity=3) for _ in range(2))
+    a.publish([Event.insert("x", 1), Event.insert("x", 2)])
+    b.publish([Event.insert("x", 3)])
+    a.publish_all(spark.createDataFrame([("x", 5, "insert", "local", 9), ("x", 4, "insert", "local", 1)], "collection string, doc_id long, mutation_type string, origin string, o int"), "o")
+    got = sorted((r["seq"], r["doc_id"]) for r in spark.read.parquet(a.path).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)] and b.last == 5 and b.lags(1) and not b.lags(2)
+
+
+def test_protocols(spark, tmp_path):
+    class Longest:
+        def merge(self, local, remote, keys):
+            return local.unionByName(remote).groupBy(*keys).agg(F.max_by("value", F.length("value")).alias("value"))
+
+    class Runs:
+        def run(self, query):
+            return query.on(spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA))
+
+    assert isinstance(Longest(), Mergeable) and isinstance(Runs(), Runner) and not isinstance(Longest(), Runner)
+    old, new = (spark.createDataFrame(r, "doc_id long, value string") for r in ([(1, "aaa"), (2, "b")], [(1, "a"), (3, "c")]))
+    got = lambda mode: sorted(map(tuple, crdt.resolve(Longest(), old, new, ["doc_id"], mode).collect()))
+    assert got(SyncAuthority.LocalFirst) == [(1, "aaa"), (2, "b"), (3, "c")] and got(SyncAuthority.RemoteAuthority) == [(1, "a"), (2, "b"), (3, "c")]
+    live = LiveQuery(ChangeLog(spark, str(tmp_path / "log")), Query.collection("users").filter(Filter.eq("name", "b")), Runs(), str(tmp_path / "live"), print)
+    assert [r["doc_id"] for r in live._run()[1].collect()] == [2]
+    assert isinstance(versioned_store(spark, tmp_path), DocumentSource)
+
+
+def versioned_store(spark, tmp_path):
+    return VersionedStore(spark, str(tmp_path / "v"), SCHEMA)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(StorageError):
+        scratch(Session())
+    Context.master = "local[4]"
+    assert scratch(Session()).startswith("/")
+
+
 def test_conflicts(versioned):
     a, b, c, d = (versioned.begin() for _ in range(4))
     a.read(1)
