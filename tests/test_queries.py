@@ -20,11 +20,6 @@ def test_query(spark, name):
     assert differences(spark, core, name, DATA) == []
 
 
-def test_float_keys_order_like_the_floats(spark):
-    rows = core.queries()["index_key_float"](spark, DATA).join(spark.read.parquet(f"{DATA}/customer.parquet"), "c_custkey").collect()
-    assert [r["c_custkey"] for r in sorted(rows, key=lambda r: (r["key"], r["c_custkey"]))] == [r["c_custkey"] for r in sorted(rows, key=lambda r: (r["c_acctbal"], r["c_custkey"]))]
-
-
 def test_entry(spark):
     got = __spark_entry__.entry(spark)
     assert got.columns == ["doc_id", "lang", "source", "n_chars"] and got.count() == 20
