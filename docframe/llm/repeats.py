@@ -324,7 +324,7 @@ def find(docs: DataFrame, w: Windows, match: Matcher, earlier: bool) -> Found:
     out = salted(found, decided, KEY, same, "c", total, ["id", "th", "at"])
     mine = F.when(F.col("id") == F.col("least"), F.col("own")).otherwise(F.col("rest")) if earlier else F.col("own")
     out = out.select("id", "th", F.transform(mine, lambda x: F.struct((F.col("at") + x.a).alias("at"), (F.col("at") + x.z).alias("to"))).alias("spans"))
-    out = materialise(out.filter("size(spans) > 0").groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
+    out = materialise(out.filter("size(spans) > 0").groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     discard(found, same, decided, *([snippets] if any_hot else []))
     return Found(every.drop("anchors"), texts, out)
 
