@@ -32,8 +32,9 @@ from ._text import _LOWER, SPACED, Chunk, U, chain, chunks, factors, grams, mix,
 from .components import components
 
 #: Keys in a bucket, keys held by a task before it sends them, members compared with one centre at once, members
-#: in a block, rows in a task that compares blocks, bytes of text in a verifying group, classes (24 bytes) broadcast.
-BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES, BROADCAST = 1 << 19, 1 << 20, 256, 512, 1 << 12, 4 << 20, 1 << 20
+#: in a block, rows in a task that compares blocks, bytes of text in a verifying group, classes (24 bytes) broadcast,
+#: classes of a key in a task beyond which they stay there.
+BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES, BROADCAST, CROWD = 1 << 19, 1 << 20, 256, 512, 1 << 12, 4 << 20, 1 << 20, 256
 #: Rounds with other centres before all members of different components are compared, and centres of a class in each.
 ROUNDS, CENTRES = 2, 4
 _C1, _C2, _C3 = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
@@ -121,7 +122,7 @@ def _grouped(values: np.ndarray, pick: np.ndarray, n: int) -> np.ndarray:
 
 
 def keys(sets: Sets, use: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of the documents in the mask use. The lowest bit of a key says that it is probed."""
+    """(document, key) of the documents in the mask use. The lowest bit of a key says that it is probed, the next is 0."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     bands = sim.bands
     own = np.searchsorted(bands, sets.size, "right") - 1
@@ -159,7 +160,7 @@ def keys(sets: Sets, use: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.n
         twice = _grouped(d, fits, 1 << 60) < np.maximum(-spare, 0)[d]
         short = live & (np.bincount(d[fits], minlength=len(own)) < -spare)
 
-        flag = lambda k, on: (k & ~U(1)) | on.astype(U)
+        flag = lambda k, on: (k & ~U(3)) | on.astype(U)
         out.append((d, flag(exact(total), probed)))
         for pick, salted, on in ((s < wide[d], "deleted", False), (twice, "exact", True)):
             e = ranges(new[pick], count[pick])
@@ -193,11 +194,28 @@ def _sizes(sim: Similarity):
 
 
 def _keyed(sim: Similarity, buckets: int, clash: np.ndarray):
-    """Rows (bucket, sigs, counts, keys): counts[i] keys (48 bits each) of class sigs[i]. Classes seen in the task count once."""
+    """Rows (bucket, sigs, counts, keys): counts[i] keys (48 bits each) of class sigs[i]. Classes seen in the task count once.
+
+    Keys that very many classes of the task have don't travel with all of them: the task makes their stars and groups
+    itself, in rows with a negative bucket, and sends one class only, flagged, to where other tasks' classes meet.
+    """
 
     def packed(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
         bucket = ((key >> U(40)) % U(buckets)).astype(np.int64)
-        order = np.lexsort((sig, bucket))
+        order = np.lexsort((sig, key >> U(2), bucket))
+        bucket, sig, key = bucket[order], sig[order], key[order]
+        name = (key & U((1 << 48) - 1)) >> U(2) | bucket.astype(U) << U(46)
+        new = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+        size = np.diff(np.append(new, len(name)))
+        out = []
+        for at, n in zip(new[size > CROWD].tolist(), size[size > CROWD].tolist()):
+            own, first = np.unique(sig[at : at + n], return_index=True)
+            probe = np.bitwise_or.reduceat(key[at : at + n] & U(1), first).astype(bool)
+            out.append(_star(own, probe, mix(name[at : at + 1])[0]))
+            key[at] |= U(2 | int(probe.any()))
+        keep = np.ones(len(key), bool)
+        keep[ranges(new[size > CROWD] + 1, size[size > CROWD] - 1)] = False
+        order = np.flatnonzero(keep)[np.lexsort((sig[keep], bucket[keep]))]
         bucket, sig, key = bucket[order], sig[order], key[order]
         low = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :6]
         new = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (bucket[1:] != bucket[:-1]))))
@@ -205,16 +223,11 @@ def _keyed(sim: Similarity, buckets: int, clash: np.ndarray):
         cut = np.searchsorted(bucket, ids := np.unique(bucket))
         row = np.searchsorted(new, np.append(cut, len(sig)))
         ends = np.append(cut, len(sig))
-        part = range(len(ids))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array([sig[new[row[i] : row[i + 1]]].tobytes() for i in part], pa.binary()),
-                pa.array([count[row[i] : row[i + 1]].tobytes() for i in part], pa.binary()),
-                pa.array([low[ends[i] : ends[i + 1]].tobytes() for i in part], pa.binary()),
-            ],
-            ["bucket", "sigs", "counts", "keys"],
-        )
+        rows = [(int(b), sig[new[row[i] : row[i + 1]]].tobytes(), count[row[i] : row[i + 1]].tobytes(), low[ends[i] : ends[i + 1]].tobytes()) for i, b in enumerate(ids)]
+        for i in range(0, len(out), 16):
+            kind, x, y, probe = (np.concatenate(c) for c in zip(*out[i : i + 16]))
+            rows.append((-1 - int(x[0] & 0xFFFFFFFF), x.tobytes(), y.tobytes(), (kind | probe << 1).astype(np.uint8).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "sigs", "counts", "keys"])
 
     def run(batches):
         seen: set[int] = set()
@@ -240,29 +253,43 @@ def _keyed(sim: Similarity, buckets: int, clash: np.ndarray):
     return run
 
 
+def _star(sig: np.ndarray, probe: np.ndarray, name: np.uint64) -> tuple[np.ndarray, ...]:
+    """Columns kind, x, y, probe (see _stars) of one key's classes, the least first."""
+    pairs, n = np.stack((np.full(len(sig) - 1, sig[0]), sig[1:]), 1), len(sig)
+    kind = np.repeat(np.array([0, 1], np.int8), (n - 1, n))
+    x = np.concatenate((pairs[:, 0], np.full(n, name.view(np.int64))))
+    return kind, x, np.concatenate((pairs[:, 1], sig)), np.concatenate((np.ones(n - 1, bool), probe))
+
+
 def _stars(table: pa.Table) -> pa.Table:
     """Rows (kind, x, y, probe) of a bucket. Kind 0: pair of a key's least class x with another one, y. Kind 1: class y
-    is in group x; groups are keys with three classes or more, and those with equal members are one."""
+    is in group x; groups are keys with three classes or more, and those with equal members are one, but for keys
+    that are crowded in some task, whose members are told by several."""
     join = lambda c: b"".join(table.column(c).to_pylist())
+    if table.num_rows and table.column("bucket")[0].as_py() < 0:
+        flags = np.frombuffer(join("keys"), np.uint8)
+        return pa.table([pa.array((flags & 1).astype(np.int8)), *(pa.array(np.frombuffer(join(c), np.int64)) for c in ("sigs", "counts")), pa.array(flags > 1)], ["kind", "x", "y", "probe"])
     low = np.zeros((len(flat := np.frombuffer(join("keys"), np.uint8).reshape(-1, 6)), 8), np.uint8)
     low[:, :6] = flat
     key = low.view(U).ravel()
     sig = np.repeat(np.frombuffer(join("sigs"), np.int64), np.frombuffer(join("counts"), np.uint32))
-    probe, key = (key & U(1)).astype(bool), key >> U(1)
+    flags, key = key & U(3), key >> U(2)
     order = np.argsort(key)
     k = key[order]
     same = np.concatenate(([False], k[1:] == k[:-1], [False]))
-    order = order[same[1:] | same[:-1]]
-    key, sig, probe = key[order], sig[order], probe[order]
+    order = order[same[1:] | same[:-1] | (flags[order] > 1)]
+    key, sig, flags = key[order], sig[order], flags[order]
     order = np.lexsort((sig, key))
-    key, sig, probe = key[order], sig[order], probe[order]
+    key, sig, flags = key[order], sig[order], flags[order]
     out = [np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
     if len(key):
         new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]))))
-        key, sig, probe = key[new], sig[new], np.logical_or.reduceat(probe, new)
+        key, sig, flags = key[new], sig[new], np.bitwise_or.reduceat(flags, new)
+        probe = (flags & U(1)).astype(bool)
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(new, len(key)))
-        live = (size > 1) & np.logical_or.reduceat(probe, new)
+        crowded = np.bitwise_or.reduceat(flags, new) > 1
+        live = ((size > 1) & np.logical_or.reduceat(probe, new)) | crowded
         group = np.repeat(np.arange(len(new)), size)
         other = np.ones(len(key), bool)
         other[new] = False
@@ -270,8 +297,10 @@ def _stars(table: pa.Table) -> pa.Table:
         pairs = np.unique(np.stack((sig[new][group[other]], sig[other]), 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
         # one group for each list of members
         total = np.concatenate((np.zeros(1, U), np.cumsum(mix(sig.view(U) * U(2) + probe.astype(U)))))
-        name = mix(total[new + size] - total[new] + size.astype(U) * _C1).view(np.int64)
-        many = np.flatnonzero(live & (size > 2))
+        name = mix(total[new + size] - total[new] + size.astype(U) * _C1)
+        own = mix(key[new] | U(table.column("bucket")[0].as_py()) << U(46))
+        name = np.where(crowded, own, name).view(np.int64)
+        many = np.flatnonzero(live & ((size > 2) | crowded))
         many = many[np.unique(name[many], return_index=True)[1]]
         rows = ranges(new[many], size[many])
         out = [np.repeat(np.array([0, 1], np.int8), (len(pairs), len(rows))), np.concatenate((pairs[:, 0], np.repeat(name[many], size[many]))), np.concatenate((pairs[:, 1], sig[rows])), np.concatenate((np.ones(len(pairs), bool), probe[rows]))]
