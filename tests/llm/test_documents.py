@@ -15,9 +15,10 @@ from docframe.llm import decontaminate as deco
 from docframe.llm import jaccard_join as jj
 from docframe.llm.components import components
 from docframe.llm.decontaminate import WuManber, decontaminate
-from docframe.llm.fingerprint import K, PIECE, RUN, SIZE, fingerprints, likeness, with_sketch
+from docframe.llm.fingerprint import AT, K, PIECE, SIZE, WORD, fingerprints, likeness, with_sketch
 from docframe.llm.jaccard_join import Similarity, jaccard_classes
-from docframe.llm.language_id import grams, language_id, vectors
+from docframe.llm import language_id as languages
+from docframe.llm.language_id import DIM, grams, language_id, letters, vectors
 from docframe.llm.toxicity import fit, toxicity
 
 SCHEMA = "doc_id long, text string, n int, th string"
@@ -81,7 +82,7 @@ def brute_classes(rows, words=5, num=80, den=100):
 @pytest.mark.parametrize("seed,small,sim", [(1, False, Similarity()), (2, True, Similarity()), (3, True, Similarity(3, 60, 100)), (4, True, Similarity(1, 80, 100))])
 def test_jaccard_classes(spark, monkeypatch, seed, small, sim):
     if small:  # many buckets, blocks and parts
-        for name, value in (("BUCKET", 500), ("HELD", 300), ("CENTRE", 2), ("BLOCK", 2), ("PLACE", 20), ("GROUP_BYTES", 2000)):
+        for name, value in (("BUCKET", 500), ("HELD", 300), ("CENTRE", 2), ("BLOCK", 2), ("PLACE", 20), ("GROUP_BYTES", 2000), ("BROADCAST", 0), ("CROWD", 3)):
             monkeypatch.setattr(jj, name, value)
     rows = family(seed) + [(None, "one two three four five six", 0, ""), (3, "one two three four five six", 0, ""), (3, "", 0, ""), (3, "", 0, "")]
     got = jaccard_classes(spark.createDataFrame(rows, SCHEMA).repartition(3), sim)
@@ -198,21 +199,31 @@ def hashed(*parts):
 
 
 def brute_sketch(text):
-    one = [hashed(p.encode()) for p in re.findall(rf"[^ \t\n\x0b\f\r]{{1,{PIECE}}}", text)]
+    """{hash: first place} of the least SIZE anchors."""
+    letters = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", text):
+        letters += [run] if len(run) <= WORD else [run[i : i + PIECE] for i in range(len(run))]
+    one = [hashed(x.encode()) for x in letters]
     two = [hashed(a, b) for a, b in zip(one, one[1:])]
-    out = set()
+    out = {}
     for i in range(len(one) - K + 1):
         inner = [signed(x) for x in two[i : i + K - 1]]
         if min(inner) in (inner[0], inner[-1]):
-            out.add(hashed(*(two[i + j] for j in range(0, K, 2))) >> 16)
+            out.setdefault(hashed(two[i], *two[i + 2 : i + K - 1]) >> 24, i)
     if not out and one:
-        out = {hashed(",".join(str(signed(x)) for x in one).encode()) >> 16}
-    return sorted(out)[:SIZE]
+        out = {hashed(",".join(str(signed(x)) for x in one).encode()) >> 24: 0}
+    return dict(sorted(out.items())[:SIZE])
 
 
 def brute_likeness(a, b):
     least = sorted(set(a) | set(b))[:SIZE]
-    return len(set(least) & set(a) & set(b)) / len(least) if least else 1.0
+    common = [h for h in least if h in a and h in b]
+
+    def ordered(x, y):
+        places = sorted((x[h], y[h]) for h in common)
+        return sum(not i or p[1] > places[i - 1][1] for i, p in enumerate(places))
+
+    return min(ordered(a, b), ordered(b, a)) / len(least) if least else 1.0
 
 
 @pytest.mark.parametrize("partitions", ["1", "5"])
@@ -230,7 +241,7 @@ def test_fingerprints(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     docs.sort(reverse=True)
     want = []
-    printed = lambda s: "".join(f"{x:012x}" for x in s)
+    printed = lambda s: "".join(f"{h << AT | at:016x}" for h, at in s.items())
     for k, (i, t) in enumerate(docs):
         after = docs[(k + 1) % len(docs)][1]
         edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
@@ -250,15 +261,43 @@ def test_fingerprint_edges(spark):
     assert not re.search("Python|Pandas|InArrow", plan)
 
 
+def one_likeness(spark, a, b):
+    rows = with_sketch(with_sketch(spark.createDataFrame([(a, b)], "a string, b string"), "a", "x"), "b", "y")
+    return likeness(rows, "x", "y", "z").first()["z"]
+
+
 def test_fingerprints_of_long_runs(spark):
-    """One more character in front of a run without white space leaves most anchors as they are."""
+    """One more character in a run without white space, in front or in the middle, leaves the anchors as they are."""
     r = random.Random(3)
-    for letters in ("天地玄黄宇宙洪荒日月盈昃辰宿列张", "abcdefghijklmnop0123456789+/", "😀😁😂🤣😃😄😅😆", "a\u3000b\u00a0c"):
-        run = "".join(r.choice(letters) for _ in range(1500))
-        rows = spark.createDataFrame([(run, letters[0] + run)], "a string, b string")
-        rows = with_sketch(with_sketch(rows, "a", "x"), "b", "y")
-        assert rows.select(likeness(F.col("x"), F.col("y"))).first()[0] > 0.8, letters
-    assert RUN % PIECE == 0
+    for letters in ("天地玄黄宇宙洪荒日月盈昃辰宿列张", "abcdefghijklmnop0123456789+/", "😀😁😂🤣😃😄😅😆", "a\u3000b\u00a0cdefg"):
+        run = "".join(r.choice(letters) for _ in range(3000))
+        assert one_likeness(spark, run, letters[0] + run) > 0.9, letters
+        assert one_likeness(spark, run, run[:1700] + letters[0] + run[1700:]) > 0.9, letters
+
+
+def test_fingerprints_know_places(spark):
+    """The same anchors in another order don't match."""
+    r = random.Random(8)
+    blocks = [[f"w{r.randrange(10**6)}" for _ in range(12)] for _ in range(40)]
+    text = lambda b: " ".join(w for x in b for w in x)
+    assert one_likeness(spark, text(blocks), text(blocks)) == 1.0
+    assert one_likeness(spark, text(blocks), text(blocks[20:] + blocks[:20])) > 0.85  # one seam
+    assert one_likeness(spark, text(blocks), text(blocks[::-1])) < 0.6
+
+
+def test_likeness_estimates_the_resemblance(spark):
+    """Against the share of common k-mers of all, over whole texts with 0 to 60 of 600 words changed."""
+    r = random.Random(5)
+    words = [f"v{i}" for i in range(900)]
+    off = []
+    for changed in range(0, 61, 6):
+        a = [r.choice(words) for _ in range(600)]
+        b = list(a)
+        for k in r.sample(range(600), changed):
+            b[k] = r.choice(words)
+        x, y = ({tuple(t[i : i + K]) for i in range(len(t) - K + 1)} for t in (a, b))
+        off.append(one_likeness(spark, " ".join(a), " ".join(b)) - len(x & y) / len(x | y))
+    assert max(map(abs, off)) < 0.25 and abs(sum(off) / len(off)) < 0.08, off
 
 
 # -- languages
@@ -271,6 +310,50 @@ def test_grams_and_bundles():
     assert sorted(upper.tolist()) == sorted(lower.tolist())
     v = vectors(np.unique(gram)).astype(float)
     assert abs(v @ v.T / v.shape[1] - np.eye(len(v))).max() < 0.2
+    assert len(grams(["12 .. !".encode(), b"\xc3"])[0]) == 0
+    every = np.array([p for p in range(0x250, 0x9FFF) if chr(p).isalpha()])
+    assert len(np.unique(letters(every), axis=0)) == len(every)  # no two letters share a vector
+
+
+def brute_languages(docs):
+    """(lang_pred, score) by vectors added one by one; docs are (doc_id, text, lang)."""
+
+    def bundle(text):
+        out, n = np.zeros(DIM), 0
+        low = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
+        s = " " + " ".join(low.split()) + " "
+        for k in range(len(s) - 2):
+            out += np.prod([np.roll(letters(np.array([ord(c)]))[0], 2 - j) for j, c in enumerate(s[k : k + 3])], axis=0)
+            n += 1
+        return out if low.split() else None
+
+    sums = {}
+    for i, t, lang in docs:
+        if lang is not None and zlib.crc32(str(i).encode()) % 3 != 1 and (b := bundle(t)) is not None:
+            sums[lang] = sums.get(lang, 0) + b
+    out = {}
+    for i, t, _ in docs:
+        b = bundle(t)
+        cosines = [] if b is None else sorted((-(b @ s) / np.linalg.norm(b) / np.linalg.norm(s), lang) for lang, s in sums.items())
+        out[i] = (cosines[0][1], max(0, -cosines[0][0])) if cosines else ("und", 0)
+    return out
+
+
+def test_language_id_as_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(languages, "SLICE", 64)
+    r = random.Random(6)
+    alphabets = {"la": "abcdefghij", "cy": "абвгдежзик", "gr": "αβγδεζηθικ", "zh": "天地玄黄宇宙洪荒日月"}
+    docs = []
+    for i in range(80):
+        lang = r.choice(list(alphabets))
+        own = alphabets[lang] if r.random() < 0.8 else alphabets["la"]
+        docs.append((i, " ".join("".join(r.choice(own).upper() for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 20))), lang if r.random() < 0.8 else None))
+    got = language_id(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)).collect()
+    want = brute_languages(docs)
+    assert len(got) == len(docs)
+    for row in got:
+        name, score = want[row["doc_id"]]
+        assert row["lang_pred"] == name and abs(row["score"] - score) < 1e-4
 
 
 def test_language_id(spark):
