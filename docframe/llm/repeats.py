@@ -298,8 +298,9 @@ def find(docs: DataFrame, w: Windows, match: Matcher, earlier: bool) -> Found:
     same = found.groupBy(*KEY).agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "at", "count")).alias("r"), F.max("id").alias("z"))
     more = F.col("z") > F.col("r.id") if earlier else F.col("c") > 1
     same = materialise(same.select(*KEY, "c", "r.*", more.alias("more")))
-    hot = same.groupBy("anchor").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > HOT)
-    picked = materialise(same.join(hot, "anchor", "left"))
+    hot = materialise(same.groupBy("anchor").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > HOT))
+    few = F.broadcast(hot) if hot.count() <= 100_000 else hot  # then no anchor's contexts are brought together
+    picked = materialise(same.join(few, "anchor", "left"))
     units, any_hot = picked.agg(F.sum(F.col("count") + w.size), F.max("contexts")).first()
     shards = max(1, -(-int(units or 0) * (6 if w.words else 1) // SHARD_BYTES))
     part = F.pmod(F.xxhash64("d1", "d2"), F.ceil(F.col("contexts") / HOT).cast("long"))
@@ -318,7 +319,7 @@ def find(docs: DataFrame, w: Windows, match: Matcher, earlier: bool) -> Found:
     if any_hot:
         decided = decided.union(_hot(snippets.filter("hot"), w, match, earlier))
     decided = materialise(decided)
-    discard(picked)
+    discard(picked, hot)
     # occurrences under the representative's id share its fate, wherever they are
     total = same.agg(F.sum("c")).first()[0] or 0
     out = salted(found, decided, KEY, same, "c", total, ["id", "th", "at"])
