@@ -6,7 +6,8 @@ position in any pattern allows. Where the jump is 0 the block ends some pattern:
 that suffix is compared word by word, first by hashes, then by bytes. All documents of a chunk are searched
 together, one place per segment.
 
-Patterns are taken in blocks of bounded size, each against all documents, so the benchmark may be of any size.
+Patterns are taken in blocks of bounded size, so the benchmark may be of any size. Of several blocks, each is searched
+for in those documents only that a Bloom filter of all windows lets through, so the documents are read twice at most.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import added, doc_id, keyed, materialise, ship
-from ._text import ALNUM, Chunk, U, chunks, equal, mix, ranges, raw, view
+from ._text import ALNUM, Chunk, U, chunks, equal, grams, mix, ranges, raw, view
 from .repeats import covered
 
-#: Patterns in a block, windows in a segment, entries of a shift table.
-PATTERNS, SEGMENT, TABLE = 200_000, 256, 1 << 18
+#: Patterns in a block, windows in a segment, entries of a shift table, bits of a Bloom filter for each window and at most
+#: (beyond, more documents pass it).
+PATTERNS, SEGMENT, TABLE, BITS, FILTER = 200_000, 256, 1 << 18, 16, 1 << 30
 
 
 class WuManber:
@@ -145,6 +148,63 @@ def _blocks(rows: Iterator, size: int) -> Iterator[list[tuple[str, bytes]]]:
     yield block
 
 
+class Sieve:
+    """A Bloom filter, with two places for each window."""
+
+    def __init__(self, windows: int):
+        self.bits = np.zeros(min(FILTER, 1 << max(6, (BITS * windows - 1).bit_length())) // 8, np.uint8)
+        self.lengths: set[int] = set()
+
+    def _places(self, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        places = (h & U(8 * len(self.bits) - 1), (h >> U(32)) & U(8 * len(self.bits) - 1))
+        return [((p >> U(3)).astype(np.int64), np.uint8(1) << (p & U(7)).astype(np.uint8)) for p in places]
+
+    def add(self, c: Chunk, size: int) -> None:
+        """All windows of the chunk's items."""
+        for lo, hi in zip(c.lo.tolist(), c.hi.tolist()):
+            if m := min(size, hi - lo):
+                self.lengths.add(m)
+                for at, bit in self._places(grams(c.hash[lo:hi], m, 1)):
+                    np.bitwise_or.at(self.bits, at, bit)
+
+    def passes(self, c: Chunk) -> np.ndarray:
+        """Mask of the chunk's documents that may have a window."""
+        out = np.zeros(len(c.lo), bool)
+        for m in self.lengths:
+            h = grams(c.hash, m, 1)
+            hit = np.ones(len(h), bool)
+            for at, bit in self._places(h):
+                hit &= (self.bits[at] & bit) > 0
+            place = np.flatnonzero(hit)
+            doc = np.searchsorted(c.lo, place, "right") - 1
+            doc = doc[place + m <= c.hi[doc]]
+            out[doc] = True
+        return out
+
+
+def _windows(benchmark: DataFrame, size: int) -> Iterator[int]:
+    """How many each item has at most."""
+    for r in benchmark.select(F.length("text").alias("n")).toLocalIterator():
+        yield (r["n"] or 0) // 2 + 1
+
+
+def _sifted(held):
+    """(id, th, n_words, text) of all documents; text is null where no window can occur."""
+
+    def run(batches):
+        for b in batches:
+            for i, j, c in chunks(raw(b.column("text"))):
+                c.words(ALNUM, fold=True)
+                text = b.column("text").slice(i, j - i)
+                out = held.value.passes(c)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(c.hi - c.lo, pa.int64()), pc.if_else(pa.array(out), text, pa.scalar(None, text.type))],
+                    ["id", "th", "n_words", "text"],
+                )
+
+    return run
+
+
 _FOUND = "id long, th long, n long, spans array<struct<at: long, to: long>>, items array<string>"
 
 
@@ -204,17 +264,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
     blocks = _blocks(items, size)
     first, second = next(blocks), next(blocks, None)
-    send = lambda b: spark.sparkContext.broadcast(tables(b, size))
+    send_ = spark.sparkContext.broadcast
+    send = lambda b: send_(tables(b, size))
     if second is None:
         rows = docs.select("id", "text", "rest")
         out = rows.mapInArrow(scan(send(first), True), added(rows, counts))
     else:
-        parts, sizes = [], None
+        sieve, rest = Sieve(sum(_windows(benchmark, size))), benchmark.select("item_id", "text").toLocalIterator()
+        for r in rest:
+            c = Chunk([(r["text"] or "").encode("utf-8", "surrogatepass")])
+            c.words(ALNUM, fold=True)
+            sieve.add(c, size)
+        passed = materialise(docs.select("id", "th", "text").mapInArrow(_sifted(send_(sieve)), "id long, th long, n_words long, text string"))
+        sizes = passed.select("id", "th", "n_words").dropDuplicates(["id", "th"])
+        some, parts = passed.filter("text is not null").dropDuplicates(["id", "th"]), []
         for block in (first, second, *blocks):
-            part = materialise(docs.select("id", "th", "text").mapInArrow(scan(held := send(block), False), _FOUND))
+            part = materialise(some.select("id", "th", "text").mapInArrow(scan(held := send(block), False), _FOUND))
             held.unpersist()
-            sizes = sizes or part.select("id", "th", F.col("n").alias("n_words")).dropDuplicates(["id", "th"])
-            parts.append(part.filter("size(spans) > 0").select("id", "th", "spans", "items").dropDuplicates(["id", "th"]))
+            parts.append(part.filter("size(spans) > 0").select("id", "th", "spans", "items"))
         every = parts[0]
         for p in parts[1:]:
             every = every.union(p)
