@@ -14,29 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..errors import StorageError
+from ..sources.files import scratch
 
 #: Stands for a null doc_id inside the operators; it sorts below every other id.
 NO_ID = -(2**63)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, the folder that driver and executors share.
-
-    Where the setting is missing, a temporary folder stands in for it if the master is local; on a cluster no folder of
-    one machine would do, so that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise StorageError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
-        base = getattr(scratch, "base", None)
-        if base is None:
-            base = scratch.base = tempfile.mkdtemp(prefix="docframe-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/docframe-{uuid.uuid4().hex}"
-
-
 #: Has Spark remove a statement's shuffle files when it is done.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
