@@ -354,10 +354,10 @@ _simple(
     lambda t: indexes.add_entries(indexes.index_entries(t.filter("o_orderkey % 3 <> 0"), "o_custkey", "o_orderkey"), indexes.index_entries(t.filter("o_orderkey % 2 = 0 or o_orderkey % 3 = 0"), "o_custkey", "o_orderkey")),
 )
 _simple(
-    "index_removed", "orders", "SELECT DISTINCT CASE WHEN o_orderkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS key, o_orderkey AS doc_id, o_orderkey % 7 <> 0 AS was_there FROM orders WHERE o_orderkey % 3 = 0",
+    "index_removed", "orders", "SELECT DISTINCT CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_custkey ELSE o_custkey END AS key, o_orderkey AS doc_id, o_orderkey % 7 <> 0 AS was_there FROM orders WHERE o_orderkey % 3 = 0",
     lambda t: indexes.removed(
         indexes.index_entries(t, "o_custkey", "o_orderkey"),
-        indexes.index_entries(t.filter("o_orderkey % 3 = 0").withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))), "o_custkey", "o_orderkey"),
+        indexes.index_entries(t.filter("o_orderkey % 3 = 0").withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))), "o_custkey", "o_orderkey"),
     ),
 )
 
