@@ -14,13 +14,11 @@ anchors less what stands in another order.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._runtime import doc_id, keyed
-from .token_output import bucket_of, id_bounds
+from .token_output import bucket_of, constant, id_bounds
 
 WORD, PIECE, K, SIZE = 32, 4, 5, 64
 #: Bits of a place, of which an anchor's hash leaves that many free; later places count as the last one.
@@ -118,7 +116,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     place = lambda b, turn: F.struct(b.cast("int").alias("bucket"), F.lit(turn).alias("turn"))
     places = [F.array(place(bucket, 0))]
     none = F.expr("cast(array() as array<struct<bucket: int, turn: int>>)")
-    edge = reduce(lambda x, y: x | y, [F.col("id").isin(bounds[i : i + 500]) for i in range(0, len(bounds), 500)], F.lit(False))
+    edge = F.coalesce(F.get(constant(bounds), bucket) == F.col("id"), F.lit(False))
     places.append(F.when(edge, F.array(place(bucket + 1, 1))).otherwise(none))
     places.append(F.when(F.col("id") == F.lit(top), F.array(place(F.lit(0), 2))).otherwise(none))
     rows = docs.withColumn("place", F.explode(F.concat(*places))).select("*", "place.bucket", "place.turn").drop("place")

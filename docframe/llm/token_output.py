@@ -131,20 +131,24 @@ def _tokenize(description, width: str, end: int):
     return run
 
 
+def constant(bounds: list[int]) -> Column:
+    """The bounds as a constant array."""
+    return F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+
+
 def bucket_of(column: Column, bounds: list[int]) -> Column:
     """The number of bounds below the value, by halving."""
     if not bounds:
         return F.lit(0)
-    k = len(bounds) // 2
-    left, right = bucket_of(column, bounds[:k]), bucket_of(column, bounds[k + 1 :]) + F.lit(k + 1)
-    return F.when(column <= F.lit(bounds[k]), left).otherwise(right) if len(bounds) > 1 else (column > F.lit(bounds[0])).cast("int")
+    steps = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda below, step: F.when(F.get(constant(bounds), below + step - 1) < column, below + step).otherwise(below))
 
 
 def id_bounds(docs: DataFrame, buckets: int) -> list[int]:
     """Ids that cut the documents into about equal ranges of ids; each is an id that occurs."""
     if buckets < 2:
         return []
-    cut = docs.agg(F.percentile_approx("id", F.lit([i / buckets for i in range(1, buckets)]), F.lit(10 * buckets))).first()[0]
+    cut = docs.agg(F.percentile_approx("id", F.lit([i / buckets for i in range(1, buckets)]), F.lit(min(10 * buckets, 200_000)))).first()[0]
     return sorted(set(cut or ()))
 
 
