@@ -286,8 +286,8 @@ def find(docs: DataFrame, w: Windows, match: Matcher, earlier: bool) -> Found:
     every = materialise(docs.mapInArrow(_scan(w), "id long, th long, n long, sha string, anchors array<long>"))
     rows = every.select("id", "th", F.explode("anchors").alias("anchor"))
     seen = rows.groupBy("anchor").agg(F.count("*").alias("c"), F.min("id").alias("a"), F.max("id").alias("z"))
-    repeated = materialise(seen.filter("a < z" if earlier else "c > 1").select("anchor", "c"))
-    total = repeated.agg(F.sum("c")).first()[0] or 0
+    repeated = materialise(seen.filter("a < z" if earlier else "c > 1").select("anchor", "c"), total=F.sum("c"))
+    total = repeated.seen["total"] or 0
     once = every.select("id", "th", F.explode(F.array_distinct("anchors")).alias("anchor"))
     mine = salted(once, repeated.select("anchor"), ["anchor"], repeated, "c", total, ["id", "th"])
     mine = materialise(mine.groupBy("id", "th").agg(F.collect_set("anchor").alias("anchors")))
@@ -297,12 +297,12 @@ def find(docs: DataFrame, w: Windows, match: Matcher, earlier: bool) -> Found:
 
     same = found.groupBy(*KEY).agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "at", "count")).alias("r"), F.max("id").alias("z"))
     more = F.col("z") > F.col("r.id") if earlier else F.col("c") > 1
-    same = materialise(same.select(*KEY, "c", "r.*", more.alias("more")))
+    same = materialise(same.select(*KEY, "c", "r.*", more.alias("more")), total=F.sum("c"))
     hot = materialise(same.groupBy("anchor").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > HOT))
-    few = F.broadcast(hot) if hot.count() <= 100_000 else hot  # then no anchor's contexts are brought together
-    picked = materialise(same.join(few, "anchor", "left"))
-    units, any_hot = picked.agg(F.sum(F.col("count") + w.size), F.max("contexts")).first()
-    shards = max(1, -(-int(units or 0) * (6 if w.words else 1) // SHARD_BYTES))
+    few = F.broadcast(hot) if hot.seen["n"] <= 100_000 else hot  # then no anchor's contexts are brought together
+    picked = materialise(same.join(few, "anchor", "left"), units=F.sum(F.col("count") + w.size))
+    any_hot = hot.seen["n"] > 0
+    shards = max(1, -(-int(picked.seen["units"] or 0) * (6 if w.words else 1) // SHARD_BYTES))
     part = F.pmod(F.xxhash64("d1", "d2"), F.ceil(F.col("contexts") / HOT).cast("long"))
     shard = F.when(F.col("contexts").isNotNull(), F.xxhash64("anchor", part)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     picks = picked.select("id", "th", F.struct(shard.alias("shard"), F.col("contexts").isNotNull().alias("hot"), *KEY, "more", "at", "count").alias("pick"))
@@ -321,7 +321,7 @@ def find(docs: DataFrame, w: Windows, match: Matcher, earlier: bool) -> Found:
     decided = materialise(decided)
     discard(picked, hot)
     # occurrences under the representative's id share its fate, wherever they are
-    total = same.agg(F.sum("c")).first()[0] or 0
+    total = same.seen["total"] or 0
     out = salted(found, decided, KEY, same, "c", total, ["id", "th", "at"])
     mine = F.when(F.col("id") == F.col("least"), F.col("own")).otherwise(F.col("rest")) if earlier else F.col("own")
     out = out.select("id", "th", F.transform(mine, lambda x: F.struct((F.col("at") + x.a).alias("at"), (F.col("at") + x.z).alias("to"))).alias("spans"))
