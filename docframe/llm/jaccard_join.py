@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from ._runtime import NO_ID, discard, doc_id, keyed, materialise, ship
 from ._text import _LOWER, SPACED, Chunk, U, chain, chunks, factors, grams, mix, new_seed, ranges, raw
-from .components import components
+from .components import components, joined
 
 #: Keys in a bucket, keys held by a task before it sends them, members compared with one centre at once, members
-#: in a block, rows in a task that compares blocks, bytes of text in a verifying group, classes (24 bytes) broadcast,
+#: in a block, rows in a task that compares blocks, bytes of text in a verifying group, rows of numbers broadcast,
 #: classes of a key in a task beyond which they stay there.
 BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES, BROADCAST, CROWD = 1 << 19, 1 << 20, 256, 512, 1 << 12, 4 << 20, 1 << 20, 256
 #: Rounds with other centres before all members of different components are compared, and centres of a class in each.
@@ -332,13 +332,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, parity: DataFrame, sim: Simila
     """Those of pairs (a, b) whose texts are linked. texts: (sig, text), parity: (sig, n, parity)."""
     of = lambda c: parity.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
     near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
-    near = materialise(near.mapInArrow(_near(sim), "a long, b long, nb long"))
-    bulk = near.agg(F.sum("nb")).first()[0] or 0
+    near = materialise(near.mapInArrow(_near(sim), "a long, b long, nb long"), bulk=F.sum("nb"))
+    bulk = near.seen["bulk"] or 0
     groups = max(1, -(-int(bulk) * 8 // GROUP_BYTES))
     parts = near.groupBy("a").agg(F.ceil(F.count("*") / CENTRE).alias("parts"))
     asked = near.join(parts, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("sig"))
     asked = asked.union(asked.select("centre", "part", F.col("centre").alias("sig")).distinct())
-    asked = asked.withColumn("place", F.pmod(F.xxhash64("centre", "part"), F.lit(groups)))
+    asked = materialise(asked.withColumn("place", F.pmod(F.xxhash64("centre", "part"), F.lit(groups))))
 
     def compare(table: pa.Table) -> pa.Table:
         centre, part, sig = (table.column(c).to_numpy() for c in ("centre", "part", "sig"))
@@ -361,8 +361,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, parity: DataFrame, sim: Simila
                         b.append(sig[o])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    out = materialise(asked.join(texts, "sig").groupBy("place").applyInArrow(compare, "a long, b long"))
-    discard(near)
+    out = materialise(texts.join(_small(asked), "sig").groupBy("place").applyInArrow(compare, "a long, b long"))
+    discard(near, asked)
     return out
 
 
@@ -372,11 +372,20 @@ def _shingles(text: bytes, k: int) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows: then what it is joined with stays in place."""
+    return F.broadcast(table) if table.seen["n"] <= BROADCAST else table
+
+
 def _spanning(groups: DataFrame, component: DataFrame) -> DataFrame:
     """(g, sig, probe, component, c) of the groups whose members lie in different components; c is their number."""
     member = groups.select("g", "sig", "probe").join(component.withColumnRenamed("node", "sig"), "sig", "left").select("g", "sig", "probe", F.coalesce("component", "sig").alias("component"))
-    span_ = member.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("c")).filter("a <> z")
-    return member.join(span_.select("g", "c"), "g")
+    member = materialise(member)
+    over = member.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("c")).filter("a <> z")
+    over = materialise(over.select("g", "c"))
+    out = materialise(member.join(_small(over), "g"))
+    discard(member, over)
+    return out
 
 
 def _other_centres(spanning: DataFrame, turn: int) -> DataFrame:
@@ -385,8 +394,8 @@ def _other_centres(spanning: DataFrame, turn: int) -> DataFrame:
     Centres are least by a hash that few groups share, so that a member of many groups meets few of them.
     """
     order = F.xxhash64("sig", F.pmod("g", F.lit(CENTRES)), F.lit(turn))
-    centre = spanning.groupBy("g").agg(F.min(F.struct(order.alias("order"), "sig", "component", "probe")).alias("m"))
-    met = spanning.join(centre, "g").filter("component <> m.component and (probe or m.probe)")
+    centre = materialise(spanning.groupBy("g").agg(F.min(F.struct(order.alias("order"), "sig", "component", "probe")).alias("m")))
+    met = spanning.join(_small(centre), "g").filter("component <> m.component and (probe or m.probe)")
     return met.select(F.least("sig", "m.sig").alias("a"), F.greatest("sig", "m.sig").alias("b")).distinct()
 
 
@@ -468,36 +477,37 @@ def jaccard_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     spark = docs.sparkSession
     ship(spark)
     docs, sim = keyed(docs), replace(sim, seed=new_seed())
-    info = materialise(docs.mapInArrow(_sizes(sim), "id long, th long, n long, sig long, check long, other long"))
+    info = materialise(docs.mapInArrow(_sizes(sim), "id long, th long, n long, sig long, check long, other long"), bulk=F.sum("n"))
+    bulk = info.seen["bulk"] or 0
     # chance alone makes n * n / 2**65 such signatures for n classes: 17 for 25 billion
     clash = [r["sig"] for r in info.groupBy("sig").agg(F.min("check").alias("a"), F.max("check").alias("z")).filter("a <> z").collect()]
     if clash:
         info = info.withColumn("sig", F.when(F.col("sig").isin(clash), F.col("other")).otherwise(F.col("sig")))
     classes = info.filter("n > 0").groupBy("sig").agg(F.min("n").alias("n"), F.min(F.struct("id", "th")).alias("r"))
-    bulk = info.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-int(bulk) * 2 // (3 * BUCKET)))
     sent = docs.select("text").mapInArrow(_keyed(sim, buckets, np.array(clash, np.int64)), "bucket long, sigs binary, counts binary, keys binary")
     met = materialise(sent.groupBy("bucket").applyInArrow(_stars, "kind byte, x long, y long, probe boolean").distinct())
 
     pairs = met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
     asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select("sig", F.col("r.id").alias("id"), F.col("r.th").alias("th")))
-    few = F.broadcast(asked) if asked.count() <= BROADCAST else asked  # then no text is shuffled
-    texts = materialise(docs.join(few, ["id", "th"]).dropDuplicates(["sig"]).select("sig", "text"))
+    texts = materialise(docs.join(_small(asked), ["id", "th"]).dropDuplicates(["sig"]).select("sig", "text"))
     discard(asked)
     parity = materialise(texts.mapInArrow(_parities(sim), "sig long, n long, parity binary"))
-    links = _verified(pairs, texts, parity, sim)
-    component = materialise(components(links))
+    component = materialise(components(_verified(pairs, texts, parity, sim)))
     groups = met.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("sig"), "probe").distinct()
     done = pairs
     for turn in range(ROUNDS + 1):
-        groups = spanning = materialise(_spanning(groups, component))  # components only grow, so other groups are done
-        if spanning.isEmpty():
+        groups = spanning = _spanning(groups, component)  # components only grow, so other groups are done
+        if not spanning.seen["n"]:
             break
         more = _other_centres(spanning, turn) if turn < ROUNDS else _across(spanning, parity, sim)
         more = materialise(more.join(done, ["a", "b"], "left_anti"))
+        if not more.seen["n"]:
+            continue
         done = done.union(more)
-        links = links.union(_verified(more, texts, parity, sim))
-        component = materialise(components(links))
+        links = _verified(more, texts, parity, sim)
+        if links.seen["n"]:
+            component = materialise(joined(component, links))
     named = info.join(component.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.filter("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     named = named.join(least, "component", "left")

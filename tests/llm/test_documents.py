@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docframe.llm import decontaminate as deco
 from docframe.llm import jaccard_join as jj
-from docframe.llm.components import components
+from docframe.llm.components import components, joined
 from docframe.llm.decontaminate import WuManber, decontaminate
 from docframe.llm.fingerprint import AT, K, PIECE, SIZE, WORD, fingerprints, likeness, with_sketch
 from docframe.llm.jaccard_join import Similarity, jaccard_classes
@@ -125,6 +125,8 @@ def test_components(spark):
         for a, b in links:
             least[a] = least[b] = min(least[a], least[b])
     assert got == {x: c for x, c in least.items() if x in got} and all(x in got for a, b in links if a != b for x in (a, b))
+    first, rest = (spark.createDataFrame(p, "a long, b long") for p in (links[::2], links[1::2]))
+    assert {row["node"]: row["component"] for row in joined(components(first), rest).collect()} == got
 
 
 # -- contamination
