@@ -13,7 +13,8 @@ Classes for which that isn't enough find each other by the prefixes of their sor
 
 Classes with a common key are candidates and are verified on the words of their whole texts. In a first round each key's
 members are compared with its least one only, in a few more with other members, as long as they lie in different
-components. What then still does is compared in blocks. So groups of near copies never make all their pairs, and no
+components. What then still does is compared in blocks, where each two components that come near are linked by their
+nearest members first; only components that this doesn't link are compared as wholes. So groups of near copies never make all their pairs, and no
 link between components is lost.
 """
 
@@ -35,8 +36,9 @@ from .components import components, joined
 #: in a block, rows in a task that compares blocks, bytes of text in a verifying group, rows of numbers broadcast,
 #: classes of a key in a task beyond which they stay there.
 BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES, BROADCAST, CROWD = 1 << 19, 1 << 20, 256, 512, 1 << 12, 4 << 20, 1 << 20, 256
-#: Rounds with other centres before all members of different components are compared, and centres of a class in each.
-ROUNDS, CENTRES = 2, 4
+#: Rounds with other centres before all members of different components are compared, centres of a class in each, and
+#: bits of a parity for each element: the more, the fewer pairs that aren't linked come near.
+ROUNDS, CENTRES, SHARP = 2, 4, 8
 _C1, _C2, _C3 = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 
 
@@ -407,7 +409,7 @@ def _parities(sim: Similarity):
             for i, j, c in chunks(raw(batch.column("text"))):
                 s, out = Sets(c, sim), []
                 for k in range(j - i):
-                    bits = 1 << max(6, int(s.size[k] - 1).bit_length())
+                    bits = 1 << max(6, int(SHARP * s.size[k] - 1).bit_length())
                     odd = np.bincount((s.mixed[s.first[k] : s.first[k + 1]] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
                     out.append(np.packbits(odd.astype(np.uint8)).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("sig").slice(i, j - i), pa.array(s.size, pa.int64()), pa.array(out, pa.binary())], ["sig", "n", "parity"])
@@ -423,8 +425,9 @@ def _folded(parities: list[bytes], size: int) -> np.ndarray:
     return out.view(U)
 
 
-def _across(spanning: DataFrame, parity: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) of each group whose members lie in different components and one of which probes.
+def _across(spanning: DataFrame, parity: DataFrame, sim: Similarity, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of each group whose members lie in different components and one of which probes; with nearest, of the
+    pairs of two components in a block only one with the least distance of parities.
 
     The members of a group are dealt into blocks, and each pair of blocks is compared in memory. Two sets can't be
     linked if their parities differ in more bits than linked sets differ in elements, so hardly any pair that isn't
@@ -445,6 +448,13 @@ def _across(spanning: DataFrame, parity: DataFrame, sim: Similarity) -> DataFram
         parities = table.column("parity").to_pylist()
         new = np.flatnonzero(np.concatenate(([True], (t["g"][1:] != t["g"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1]))))
         found = [np.zeros((0, 2), np.int64)]
+
+        def one_each(a: np.ndarray, b: np.ndarray, far: np.ndarray, part: np.ndarray) -> np.ndarray:
+            low, high = np.minimum(part[a], part[b]), np.maximum(part[a], part[b])
+            order = np.lexsort((far, high, low))
+            low, high = low[order], high[order]
+            return order[np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))] if len(order) else order
+
         for s, e in zip(new, np.append(new[1:], len(order))):
             sig, n, part, probe = (t[c][s:e] for c in ("sig", "n", "component", "probe"))
             own = [parities[o] for o in order[s:e]]
@@ -455,8 +465,13 @@ def _across(spanning: DataFrame, parity: DataFrame, sim: Similarity) -> DataFram
             x, y = np.nonzero(ok)
             for k in range(0, len(x), 1 << 14):
                 a, b = left[x[k : k + (1 << 14)]], right[y[k : k + (1 << 14)]]
-                near = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= sim.differing(n[a] + n[b])
-                found.append(np.stack((sig[a[near]], sig[b[near]]), 1))
+                far = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+                near = far <= sim.differing(n[a] + n[b])
+                a, b, far = a[near], b[near], far[near]
+                if nearest:
+                    one = one_each(a, b, far, part)
+                    a, b = a[one], b[one]
+                found.append(np.stack((sig[a], sig[b]), 1))
         pair = np.concatenate(found)
         pair.sort(axis=1)
         pair = np.unique(pair, axis=0)
@@ -496,11 +511,11 @@ def jaccard_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     component = materialise(components(_verified(pairs, texts, parity, sim)))
     groups = met.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("sig"), "probe").distinct()
     done = pairs
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS + 2):
         groups = spanning = _spanning(groups, component)  # components only grow, so other groups are done
         if not spanning.seen["n"]:
             break
-        more = _other_centres(spanning, turn) if turn < ROUNDS else _across(spanning, parity, sim)
+        more = _other_centres(spanning, turn) if turn < ROUNDS else _across(spanning, parity, sim, turn == ROUNDS)
         more = materialise(more.join(done, ["a", "b"], "left_anti"))
         if not more.seen["n"]:
             continue
