@@ -37,8 +37,8 @@ from .components import components, joined
 #: classes of a key in a task beyond which they stay there.
 BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES, BROADCAST, CROWD = 1 << 19, 1 << 20, 256, 512, 1 << 12, 4 << 20, 1 << 20, 256
 #: Rounds with other centres before all members of different components are compared, centres of a class in each, and
-#: bits of a parity for each element: the more, the fewer pairs that aren't linked come near.
-ROUNDS, CENTRES, SHARP = 2, 4, 8
+#: bits of a parity for each element: the more, the fewer pairs that aren't linked come near, and the more is shuffled.
+ROUNDS, CENTRES, SHARP = 2, 4, 1
 _C1, _C2, _C3 = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 
 
