@@ -12,8 +12,8 @@ is missing is given back by v = 2 on the first segments, for which all classes i
 Classes for which that isn't enough find each other by the prefixes of their sorted sets.
 
 Classes with a common key are candidates and are verified on the words of their whole texts. In a first round each key's
-members are compared with its least one only, in a few more with other members, as long as they lie in different
-components. What then still does is compared in blocks, where each two components that come near are linked by their
+members are compared with its least one only, in a few more one member of each component with other members, as long as
+that links many. What then still does is compared in blocks, where each two components that come near are linked by their
 nearest members first; only components that this doesn't link are compared as wholes. So groups of near copies never make all their pairs, and no
 link between components is lost.
 """
@@ -36,9 +36,10 @@ from .components import components, joined
 #: in a block, rows in a task that compares blocks, bytes of text in a verifying group, rows of numbers broadcast,
 #: classes of a key in a task beyond which they stay there.
 BUCKET, HELD, CENTRE, BLOCK, PLACE, GROUP_BYTES, BROADCAST, CROWD = 1 << 19, 1 << 20, 256, 512, 1 << 12, 4 << 20, 1 << 20, 256
-#: Rounds with other centres before all members of different components are compared, centres of a class in each, and
-#: bits of a parity for each element: the more, the fewer pairs that aren't linked come near, and the more is shuffled.
-ROUNDS, CENTRES, SHARP = 2, 4, 1
+#: Rounds with other centres before all members of different components are compared, centres of a class in each, pairs
+#: for each link beyond which a round is the last one, and bits of a parity for each element: the more, the fewer pairs
+#: that aren't linked come near, and the more is shuffled.
+ROUNDS, CENTRES, PAYS, SHARP = 2, 4, 32, 1
 _C1, _C2, _C3 = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 
 
@@ -380,8 +381,10 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _spanning(groups: DataFrame, component: DataFrame) -> DataFrame:
-    """(g, sig, probe, component, c) of the groups whose members lie in different components; c is their number."""
-    member = groups.select("g", "sig", "probe").join(component.withColumnRenamed("node", "sig"), "sig", "left").select("g", "sig", "probe", F.coalesce("component", "sig").alias("component"))
+    """(g, sig, probe, component, alone, c) of the groups whose members lie in different components; alone are those without
+    a link, c is the number of members."""
+    member = groups.select("g", "sig", "probe").join(component.withColumnRenamed("node", "sig"), "sig", "left")
+    member = member.select("g", "sig", "probe", F.coalesce("component", "sig").alias("component"), F.col("component").isNull().alias("alone"))
     member = materialise(member)
     over = member.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("c")).filter("a <> z")
     over = materialise(over.select("g", "c"))
@@ -391,14 +394,15 @@ def _spanning(groups: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def _other_centres(spanning: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each member with another centre of its group, if that lies in another component.
+    """Pairs (a, b) of other centres of groups with one member of each other component that they meet there.
 
     Centres are least by a hash that few groups share, so that a member of many groups meets few of them.
     """
     order = F.xxhash64("sig", F.pmod("g", F.lit(CENTRES)), F.lit(turn))
     centre = materialise(spanning.groupBy("g").agg(F.min(F.struct(order.alias("order"), "sig", "component", "probe")).alias("m")))
     met = spanning.join(_small(centre), "g").filter("component <> m.component and (probe or m.probe)")
-    return met.select(F.least("sig", "m.sig").alias("a"), F.greatest("sig", "m.sig").alias("b")).distinct()
+    one = met.groupBy(F.col("m.sig").alias("centre"), "component").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("order"), "sig")).alias("m"))
+    return one.select(F.least("m.sig", "centre").alias("a"), F.greatest("m.sig", "centre").alias("b")).distinct()
 
 
 def _parities(sim: Similarity):
@@ -427,22 +431,26 @@ def _folded(parities: list[bytes], size: int) -> np.ndarray:
 
 def _across(spanning: DataFrame, parity: DataFrame, sim: Similarity, nearest: bool) -> DataFrame:
     """Pairs (a, b) of each group whose members lie in different components and one of which probes; with nearest, of the
-    pairs of two components in a block only one with the least distance of parities.
+    pairs of two components in a block only one with the least distance of parities. Without, as comes after it, two
+    classes that are still alone make no pair: they had one.
 
     The members of a group are dealt into blocks, and each pair of blocks is compared in memory. Two sets can't be
     linked if their parities differ in more bits than linked sets differ in elements, so hardly any pair that isn't
-    near the similarity leaves a block.
+    near the similarity leaves a block. Two members that probe in the same least group, or greatest one, leave that only,
+    and not each of the many that near ones share.
     """
-    rows = spanning.join(parity, "sig").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    home = spanning.filter("probe").groupBy("sig").agg(F.min("g").alias("least"), F.max("g").alias("most"))
+    rows = spanning.join(parity.join(home, "sig", "left"), "sig").withColumns({c: F.coalesce(c, "g") for c in ("least", "most")})
+    rows = rows.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
     total = rows.agg(F.sum("blocks")).first()[0] or 0
     rows = rows.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     # a member goes to every pair of blocks that has its own
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("g", "sig", "probe", "n", "component", "parity", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("g", "sig", "probe", "n", "component", "alone", "least", "most", "parity", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = rows.withColumn("place", F.pmod(F.xxhash64("g", "i", "j"), F.lit(1 + int(total) // PLACE)))
 
     def cross(table: pa.Table) -> pa.Table:
-        t = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("g", "i", "j", "sig", "probe", "n", "component", "own")}
+        t = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("g", "i", "j", "sig", "probe", "n", "component", "alone", "least", "most", "own")}
         order = np.lexsort((t["j"], t["i"], t["g"]))
         t = {c: v[order] for c, v in t.items()}
         parities = table.column("parity").to_pylist()
@@ -456,17 +464,20 @@ def _across(spanning: DataFrame, parity: DataFrame, sim: Similarity, nearest: bo
             return order[np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))] if len(order) else order
 
         for s, e in zip(new, np.append(new[1:], len(order))):
-            sig, n, part, probe = (t[c][s:e] for c in ("sig", "n", "component", "probe"))
+            sig, n, part, probe, alone, least, most = (t[c][s:e] for c in ("sig", "n", "component", "probe", "alone", "least", "most"))
             own = [parities[o] for o in order[s:e]]
             bits = _folded(own, min(map(len, own)))
             left, right = (np.flatnonzero(t["own"][s:e] == t[c][s]) for c in ("i", "j"))
             ok = (part[left][:, None] != part[right]) & (probe[left][:, None] | probe[right])
             ok &= np.minimum(n[left][:, None], n[right]) * sim.den >= np.maximum(n[left][:, None], n[right]) * sim.num
+            if not nearest:
+                ok &= ~(alone[left][:, None] & alone[right])
             x, y = np.nonzero(ok)
             for k in range(0, len(x), 1 << 14):
                 a, b = left[x[k : k + (1 << 14)]], right[y[k : k + (1 << 14)]]
                 far = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-                near = far <= sim.differing(n[a] + n[b])
+                home = np.where(least[a] == least[b], least[a], np.where(most[a] == most[b], most[a], t["g"][s]))
+                near = (far <= sim.differing(n[a] + n[b])) & (home == t["g"][s])
                 a, b, far = a[near], b[near], far[near]
                 if nearest:
                     one = one_each(a, b, far, part)
@@ -511,18 +522,21 @@ def jaccard_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     component = materialise(components(_verified(pairs, texts, parity, sim)))
     groups = met.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("sig"), "probe").distinct()
     done = pairs
-    for turn in range(ROUNDS + 2):
+    turn = 0
+    while turn < ROUNDS + 2:
         groups = spanning = _spanning(groups, component)  # components only grow, so other groups are done
         if not spanning.seen["n"]:
             break
         more = _other_centres(spanning, turn) if turn < ROUNDS else _across(spanning, parity, sim, turn == ROUNDS)
-        more = materialise(more.join(done, ["a", "b"], "left_anti"))
+        more, turn = materialise(more.join(done, ["a", "b"], "left_anti")), turn + 1
         if not more.seen["n"]:
             continue
         done = done.union(more)
         links = _verified(more, texts, parity, sim)
         if links.seen["n"]:
             component = materialise(joined(component, links))
+        if turn < ROUNDS and links.seen["n"] * PAYS < more.seen["n"]:
+            turn = ROUNDS
     named = info.join(component.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.filter("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     named = named.join(least, "component", "left")
