@@ -37,7 +37,7 @@ BLOCK, LIMIT, CACHE, BATCH = 1 << 15, 18, 1 << 21, 1 << 20
 _VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
 _BYTES = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_VISIBLE))}
 #: Visible ASCII that is neither letter nor digit.
-_MARKS = frozenset(b for b in range(33, 127) if not chr(b).isalnum())
+_MARKS = frozenset(chr(b) for b in range(33, 127) if not chr(b).isalnum())
 
 
 class WordTokenizer:
@@ -56,8 +56,7 @@ class WordTokenizer:
         self.known, self.pieces = WordTable(width, CACHE), {}
         self.pattern = self._pattern(json.loads(description))
         if self.pattern:
-            self.ascii = re.compile(self.pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
-            self.latin = regex.compile(self.pattern)
+            self.pattern = regex.compile(self.pattern)
 
     @staticmethod
     def _pattern(d: dict) -> str | None:
@@ -75,25 +74,35 @@ class WordTokenizer:
         return split[0]["pattern"]["Regex"] if fits else None
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        self.pieces[piece] = ids
         return ids
 
-    def _word(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters alone
-            return self._piece(word.lower().decode())
-        if word[:-1].isalpha() and word[-1] in _MARKS:
-            return self._piece(word[:-1].lower().decode()) + self._piece(chr(word[-1]))
-        if b"<|" not in word:
-            if _PLAIN(word):
-                return b"".join(map(self._piece, self.ascii.findall(word.decode().lower())))
-            text = word.decode("utf-8", "replace")
-            if _LATIN(text) and unicodedata.is_normalized("NFC", text):
-                text = text.lower()
-                found = (text,) if text.isalpha() else self.latin.findall(text)
-                return b"".join([self._piece(p.encode().decode("latin-1").translate(_BYTES)) for p in found])
-        return self._whole([word])[0]
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; words that are decoded, lowered and cut in the same way are so together."""
+        all_ = b" ".join(words).decode("utf-8", "replace")  # a word has no space
+        hard = []
+        if not _LATIN(all_) or "<|" in all_ or not unicodedata.is_normalized("NFC", all_):
+            own = all_.split(" ")
+            hard = [i for i, w in enumerate(own) if not _LATIN(w) or "<|" in w or not unicodedata.is_normalized("NFC", w)]
+            for i in hard:
+                own[i] = ""
+            all_ = " ".join(own)
+        known, new, cut, out = self.pieces.get, self._piece, self.pattern.findall, []
+        for w in all_.lower().split(" "):
+            if w.isalpha():
+                if not w.isascii():
+                    w = w.encode().decode("latin-1").translate(_BYTES)
+                out.append(known(w) or new(w))
+            elif w[-1:] in _MARKS and w[:-1].isalpha() and w.isascii():
+                out.append((known(w[:-1]) or new(w[:-1])) + (known(w[-1]) or new(w[-1])))
+            else:
+                found = cut(w) if w.isascii() else [p.encode().decode("latin-1").translate(_BYTES) for p in cut(w)]
+                out.append(b"".join([known(p) or new(p) for p in found]))
+        if hard:
+            for i, ids in zip(hard, self._whole([words[i] for i in hard])):
+                out[i] = ids
+        return out
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -104,13 +113,14 @@ class WordTokenizer:
         if not self.pattern:
             return self._whole(c.texts)
         c.words(SPACED)
-        if len(self.pieces) > CACHE // 16:
+        if len(self.pieces) > CACHE // 8:
             self.pieces = {}
-        ids, end = self.known.look_up(c, lambda words: [self._word(w) for w in words])
+        ids, end = self.known.look_up(c, lambda words: self._words(words) if words else [])
         return [ids[a:z].tobytes() for a, z in zip(end[c.lo].tolist(), end[c.hi].tolist())]
 
 
-_PLAIN, _LATIN = re.compile(rb"[!-~]+").fullmatch, re.compile("[!-~\u00a0-\u024f]+").fullmatch
+#: Of words, or of words with spaces between them.
+_LATIN = re.compile("[ -~\u00a0-\u024f]*").fullmatch
 
 _tokenizers: dict[int, WordTokenizer] = {}
 
