@@ -68,6 +68,33 @@ def test_bulk_writes_and_compaction(spark, tmp_path):
     assert not s.files.names("_wal")
 
 
+def test_no_task_sorts_a_whole_table(spark, tmp_path):
+    """However little they take compressed, and with fewer shuffle partitions than pieces, rows of a table are sorted in pieces."""
+    setting = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    s = Store.open(spark, str(tmp_path / "db"), Config(level_threshold=2, sort_bytes=4 << 20))
+    rows = spark.range(200_000).select(F.sha1(F.col("id").cast("string")).alias("key"), F.lit("O").alias("value"))
+    again = rows.filter("key < '1'").withColumn("value", F.lit("P"))
+    s.write(rows.union(again))
+    s.write(rows.filter("key >= 'fff'").withColumn("is_tombstone", F.lit(True)))
+
+    def pieces(t):
+        files = spark.read.parquet(s.files.at(t.path)).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("z")).collect()
+        return sorted((bytes(r["a"]), bytes(r["z"]), r["n"]) for r in files)
+
+    def sorted_in_pieces(t):
+        found = pieces(t)
+        assert sum(n for _, _, n in found) == t.entries == 200_000 and max(n for _, _, n in found) * 201 < 3 * (4 << 20)
+        assert all(before[1] < after[0] for before, after in zip(found, found[1:]))
+
+    large, small = s.tables()
+    sorted_in_pieces(large)
+    assert len(pieces(small)) == 1  # what fits in a piece is one file
+    s.compact()
+    sorted_in_pieces(*s.tables())
+    assert s.view().count() == rows.filter("key < 'fff'").count() and s.view().filter("value = cast('P' as binary)").count() == again.count()
+    assert setting == {k: spark.conf.get(k) for k in setting}
+
+
 def test_store_errors(spark, tmp_path):
     path = str(tmp_path / "db")
     a = Store.open(spark, path)
