@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from docframe import Filter, Query, Sort
 from docframe.errors import AlreadyFinalised, ClosedError, CommitConflict, Conflict, LogError, ManifestError, StorageError
 from docframe.operators import crdt
+from docframe.operators.ranks import numbered
 from docframe.plans.schema import SyncAuthority
 from docframe.protocols import DocumentSource, Mergeable, Runner
 from docframe.sources.documents import VersionedStore, applied, conflicts
@@ -95,6 +96,23 @@ def test_no_task_sorts_a_whole_table(spark, tmp_path):
     assert setting == {k: spark.conf.get(k) for k in setting}
 
 
+def test_a_table_is_read_in_pieces(spark, tmp_path):
+    """A full scan's tasks can't divide a row group, so a table isn't one."""
+    s = Store.open(spark, str(tmp_path / "db"), Config(sort_bytes=4 << 20))
+    rows = spark.range(200_000).select(F.sha1(F.col("id").cast("string")).alias("key"), F.lit("O").alias("value"))
+    s.write(rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        tasks = [r["count"] for r in s.versions().groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sum(tasks) == 200_000 and max(tasks) * 201 < 3 * (4 << 20)
+    placed = numbered(s.view(), F.col("key")).select(F.col("key").cast("string").alias("key"), "place").filter("place % 20000 = 1").collect()
+    in_order = sorted(r["key"] for r in rows.collect())
+    assert sorted((r["place"], r["key"]) for r in placed) == [(i + 1, in_order[i]) for i in range(0, 200_000, 20_000)]
+
+
 def test_store_errors(spark, tmp_path):
     path = str(tmp_path / "db")
     a = Store.open(spark, path)
